@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import encoding, languages, split
+from papyra.llm import encoding, languages, ocr, split
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,14 @@ def _p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(spark.read.parquet(f"{d}/pdf_pages.parquet"), spark.read.parquet(f"{d}/runs.parquet"))
 
 
+def _p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.find_noise(spark.read.parquet(f"{d}/ocr_pages.parquet"), spark.read.parquet(f"{d}/ocr_docs.parquet"))
+
+
+def _p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair_pages(spark.read.parquet(f"{d}/ocr_pages.parquet"), spark.read.parquet(f"{d}/ocr_docs.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
@@ -43,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pages": _p4_pages,
     "p5_found": _p5_found,
     "p5_repaired": _p5_repaired,
+    "p6_found": _p6_found,
+    "p6_repaired": _p6_repaired,
 }
 
 SQL: dict[str, str] = {
