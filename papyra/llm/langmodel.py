@@ -98,6 +98,20 @@ class LanguageModel:
             total += v if v is not None else self._backoff(w)
         return total
 
+    def totals(self, text: str) -> np.ndarray:
+        """Scores of the whole text, known words by one look-up each."""
+        if not hasattr(self, "_row"):
+            self._row = {w: i for i, w in enumerate(self.words)}
+            self._matrix = np.array(list(self.words.values()), dtype=np.float32).reshape(-1, len(CODES))
+        known, rest = [], np.zeros(len(CODES))
+        for w in words(text):
+            i = self._row.get(w)
+            if i is None:
+                rest += self._backoff(w)
+            else:
+                known.append(i)
+        return self._matrix[known].sum(axis=0, dtype=np.float64) + rest if known else rest
+
     def _backoff(self, word: str) -> np.ndarray:
         """An unseen word: each position by the longest known n-gram that begins there, averaged by length."""
         padded, total, i, steps = f" {word} ", np.zeros(len(CODES)), 0, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import encoding, languages, ocr, split
+from papyra.llm import encoding, languages, ocr, pairs, split, truncation
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,19 @@ def _p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_sections(spark.read.parquet(f"{d}/sections.parquet"), spark.read.parquet(f"{d}/chunk_budgets.parquet"))
 
 
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = truncation.judge_tails(truncation.entries_of(spark.read.parquet(f"{d}/journal.parquet")))
+    return judged.where("truncated").select("id")
+
+
+def _p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(spark.read.parquet(f"{d}/journal.parquet"), spark.read.parquet(f"{d}/models.parquet"))
+
+
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find_defects(spark.read.parquet(f"{d}/journal.parquet"), spark.read.parquet(f"{d}/pdf_pages.parquet"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.find_mislabelled(spark.read.parquet(f"{d}/pdf_pages.parquet"))
 
@@ -47,6 +60,9 @@ def _p6_repaired(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
+    "p2_found": _p2_found,
+    "p2_rates": _p2_rates,
+    "p3_found": _p3_found,
     "p4_found": _p4_found,
     "p4_pages": _p4_pages,
     "p5_found": _p5_found,
