@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm import langmodel, truncation
-from papyra.llm.langs import CODES, LANGUAGES, NOTATION
+from papyra.llm.langs import CODES, LANGUAGES
+from papyra.session import cut_lineage
 
 #: Responses shorter than this prove nothing by being the beginning of another.
 LEAST_PREFIX = 24
@@ -149,14 +150,15 @@ def shortened(entries: DataFrame, least: int = LEAST_PREFIX) -> DataFrame:
                 last = t
                 first = t if first is None else first
             p = int(b["p"].iloc[0]) if len(b) else p
-            yield pd.DataFrame({"t": found, "p": p, "role": "continued"})
+            yield pd.DataFrame([(t, p, "continued") for t in found], columns=["t", "p", "role"])
         if last is not None:
-            yield pd.DataFrame({"t": [first, last], "p": p, "role": ["first", "last"]})
+            yield pd.DataFrame([(first, p, "first"), (last, p, "last")], columns=["t", "p", "role"])
 
-    marked = ordered.mapInPandas(neighbours, "t string, p int, role string")
-    # The next non-empty partition's first text continues the last text, or no text does.
-    firsts = marked.where("role = 'first'").select((F.col("p") - 1).alias("p"), F.col("t").alias("next"))
-    border = marked.where("role = 'last'").select("p", "t").join(firsts, "p").where("startswith(next, t)").select("t")
+    marked = cut_lineage(ordered.mapInPandas(neighbours, "t string, p int, role string"))
+    # The next partition's first text continues a partition's last text, or no text does. One window
+    # over two rows for each partition.
+    after = Window.orderBy("p", F.col("role") == "last")
+    border = marked.where("role <> 'continued'").withColumn("next", F.lead("t").over(after)).where("role = 'last' and startswith(next, t)").select("t")
     continued = marked.where("role = 'continued'").select("t").unionByName(border).distinct()
     return entries.where(F.length("output") >= least).select("id", F.rtrim("output").alias("t")).join(continued, "t", "left_semi").select("id")
 
