@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import encoding, languages, ocr, pairs, split, truncation
+from papyra.llm import encoding, languages, mixing, ocr, packing, pairs, split, subjects, truncation
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,34 @@ def _p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return ocr.repair_pages(spark.read.parquet(f"{d}/ocr_pages.parquet"), spark.read.parquet(f"{d}/ocr_docs.parquet"))
 
 
+def _p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/pack_sizes.parquet"))
+
+
+def _p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_report(_p7_packed(spark, d), spark.read.parquet(f"{d}/pack_sizes.parquet"))
+
+
+def _p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/mix_targets.parquet"))
+
+
+def _p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(_p8_mix(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))
+
+
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_shares(spark, d).select("doc_id", "subject")
+
+
+def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(*[spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "doc_labels", "subjects")])
+
+
+def _p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_shares(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 4).alias("weight"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
@@ -69,6 +97,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_repaired": _p5_repaired,
     "p6_found": _p6_found,
     "p6_repaired": _p6_repaired,
+    "p7_packed": _p7_packed,
+    "p7_report": _p7_report,
+    "p8_mix": _p8_mix,
+    "p8_report": _p8_report,
+    "p9_found": _p9_found,
+    "p9_shares": _p9_shares,
+    "p9_composition": _p9_composition,
 }
 
 SQL: dict[str, str] = {
