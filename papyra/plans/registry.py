@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyra.ship import ship
+
 
 class Tables:
     """Tables of a directory as attributes."""
@@ -24,7 +26,11 @@ class Catalog:
 
     def add(self, name: str, sql: str | None = None):
         def register(build: Callable[[Tables], DataFrame]):
-            self.queries[name] = lambda spark, d: build(Tables(spark, d))
+            def run(spark: SparkSession, d: str) -> DataFrame:
+                ship(spark)
+                return build(Tables(spark, d))
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return build
