@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.session import cut_lineage
+
 #: So many sentences must share a frame before it can say what they end on.
 FRAME = 15
 #: A last line is whole where so many answers end on it.
@@ -204,8 +206,9 @@ def judge_tails(entries: DataFrame, extra: DataFrame | None = None) -> DataFrame
 
     limited = F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False)).alias("limited")
     looked = entries.select("id", "experiment", "provider", "model", "output", "prompt", limited, "n_tokens").mapInPandas(look, ddl)
-    looked = looked.dropDuplicates(["id"])
-    counts = corpus_counts(entries)
+    # both are read in several places: written once
+    looked = cut_lineage(looked.dropDuplicates(["id"]))
+    counts = cut_lineage(corpus_counts(entries))
     words = counts.where("kind = 'w'")
     frames = counts.where("kind = 'f'")
     starts = frames.groupBy("a").agg(F.sum("n").alias("n_start"), F.count("*").alias("ends"), F.min("least").alias("least_start"))
