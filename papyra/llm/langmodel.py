@@ -28,11 +28,14 @@ LONGEST = 5
 #: Letters in runs; a run of one script among Han, Kana and Hangul counts as one word.
 WORD = re.compile(r"[぀-ヿー]+|[㐀-鿿豈-﫿々]+|[가-힯ᄀ-ᇿ]+|(?:(?![぀-ヿ㐀-鿿豈-﫿가-힯])[^\W\d_])+")
 SEGMENT = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』”’]*|\n+|\s/\s)\s*")
-_KANA = re.compile(r"[぀-ヿ]")
+
+
+_SCRIPTS = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯ᄀ-ᇿ]")
+_PLAIN = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return (WORD if _SCRIPTS.search(text) else _PLAIN).findall(text.lower())
 
 
 def segments(text: str) -> list[tuple[int, int]]:

@@ -40,6 +40,11 @@ REFUSALS = re.compile(
     )),
     re.I,
 )
+#: Every pattern above holds one of these, which are quicker to look for.
+_CORES = (
+    "not ", "n't", "n’t", "unable", "declin", "refus", "denied", "allow", "permitted", "against", "as an ai", "rather", "decided", "leid", "nicht", "pas", "désol", "impossible", "siento", "no puedo", "no me",
+    "no estoy", "desculp", "não", "lamento", "dispiace", "non ", "spijt", "niet", "przykro", "przepraszam", "nie ", "извин", "сожал", "не ", "申し", "できません", "断り", "抱歉", "对不起", "无法", "不能", "不会", "恕", "죄송", "수 없",
+)
 #: A sentence that only reports what somebody else says.
 REPORTED = re.compile(r"\b(?:sender|letter|author|writer|customer|office|council|company|note|memo|mail|message|committee|speaker)\b[^.]{0,60}\b(?:writes?|says?|said|wrote|reads?|states?|apologi[sz]es?)\b|\b(?:writes|says)\b", re.I)
 #: Errors that say the provider declined on policy grounds.
@@ -69,16 +74,16 @@ def _plain(s: str) -> str:
 def refused(output: str, prompt: str | None) -> bool:
     """Whether the first sentences decline the task in the model's own voice, not in words of the page."""
     body = _MARKUP.sub("", output).strip()
-    seen = 0
-    for s in _FIRST.split(body):
-        s = s.strip()
-        if not s:
-            continue
-        seen += 1
-        if REFUSALS.search(s) and not REPORTED.search(s) and not (prompt and s[:60] in prompt):
+    at = 0
+    for _ in range(2):
+        m = _FIRST.search(body, at)
+        s = body[at : m.start() if m else len(body)].strip()
+        low = s.lower()
+        if s and any(k in low for k in _CORES) and REFUSALS.search(s) and not REPORTED.search(s) and not (prompt and s[:60] in prompt):
             return True
-        if seen == 2:
+        if m is None:
             break
+        at = m.end()
     return False
 
 
@@ -87,7 +92,8 @@ def copied(output: str, prompt: str | None) -> bool:
     if not prompt:
         return False
     instruction = _plain(instruction_of(prompt)[0])
-    return len(instruction) >= 8 and instruction in _plain(output)
+    # its first word alone rules most outputs out
+    return len(instruction) >= 8 and instruction.split(" ", 1)[0] in output.lower() and instruction in _plain(output)
 
 
 def asked_language(instruction: str) -> str | None:
@@ -116,6 +122,8 @@ def wrong_language(output: str, prompt: str | None, model: langmodel.LanguageMod
     if asked is None:
         if not page:
             return False
+        if len(body) > 150 and sum(body[k : k + 40] in page for k in (20, len(body) // 2, len(body) - 60)) > 1:
+            return False
         out_words = set(langmodel.words(body))
         if out_words and len(out_words & set(langmodel.words(page))) >= 0.6 * len(out_words):
             return False  # it is made of the page's own words

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 from papyra.llm import encoding, languages, mixing, ocr, packing, pairs, split, subjects, truncation
+from papyra.ship import ship
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +87,7 @@ def _p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return _p9_shares(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.sum("share"), 4).alias("weight"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
     "p2_found": _p2_found,
@@ -106,6 +108,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_composition": _p9_composition,
 }
 
+
+
+def _shipped(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
+        return build(spark, d)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _shipped(v) for k, v in _BUILD.items()}
+
 SQL: dict[str, str] = {
     "p1_found": """
         with t as (

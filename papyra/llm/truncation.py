@@ -9,7 +9,7 @@ mark, is joined with trie and frames, with length evidence for what both leave o
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -132,18 +132,15 @@ def tail(output: str | None, prompt: str | None) -> tuple[str, str, str, str, st
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """kind, a, b, n, least: words, frames, and last lines, summed over a batch before they leave Python."""
     for batch in batches:
-        words: dict[str, int] = defaultdict(int)
+        words: Counter[str] = Counter()
         frames: dict[tuple[str, str], list[int]] = {}
         lines: dict[str, int] = defaultdict(int)
         for prompt, output in zip(batch["prompt"], batch["output"]):
             if prompt:
-                for w in _WORDS.findall(prompt.lower()):
-                    words[w] += 1
+                words.update(_WORDS.findall(prompt.lower()))
             if not output:
                 continue
-            found = _WORDS.findall(output.lower())
-            for w in found[:-1]:
-                words[w] += 1
+            words.update(_WORDS.findall(output.lower())[:-1])
             parts = _SENTENCE.split(output)
             for k, s in enumerate(parts):
                 s = s.strip()
