@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from papyra.plans import chunks, documents, journal, lookups, pages, runs, sheets
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_ALL = (lookups, pages, runs, journal, sheets, chunks, documents)
+QUERIES = {name: q for m in _ALL for name, q in m.catalog.queries.items()}
+SQL = {name: s for m in _ALL for name, s in m.catalog.sql.items()}
