@@ -181,24 +181,28 @@ def find_defects(journal: DataFrame, labelled: DataFrame, text: str = "text_samp
     """
     entries = truncation.entries_of(journal)
     shared = journal.sparkSession.sparkContext.broadcast(langmodel.fit(labelled, text, label, list(keys)))
-    declined = F.coalesce(F.col("error").rlike(POLICY_ERROR), F.lit(False)).alias("declined")
+    declined = F.coalesce(F.col("error").rlike(POLICY_ERROR), F.lit(False))
+
+    def defect(prompt: str | None, output: str | None, no: bool, model: langmodel.LanguageModel) -> str | None:
+        if not truncation.visible(output):
+            return "refusal" if no else "empty"
+        if refused(output, prompt):
+            return "refusal"
+        if copied(output, prompt):
+            return "copy"
+        return "wrong_language" if wrong_language(output, prompt, model) else None
 
     def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            found = []
-            for i, prompt, output, no in zip(b["id"], b["prompt"], b["output"], b["declined"]):
-                if not truncation.visible(output):
-                    found.append((i, "refusal" if no else "empty"))
-                elif refused(output, prompt):
-                    found.append((i, "refusal"))
-                elif copied(output, prompt):
-                    found.append((i, "copy"))
-                elif wrong_language(output, prompt, m):
-                    found.append((i, "wrong_language"))
-            yield pd.DataFrame(found, columns=["id", "defect"])
-
-    flagged = entries.select("id", "prompt", "output", declined).mapInPandas(rules, "id string, defect string").distinct()
-    cut = truncation.judge_tails(entries, shortened(entries)).where("truncated").select("id")
+            found = truncation.look(b)
+            found["defect"] = [defect(p, o, no, m) for p, o, no in zip(b["prompt"], b["output"], b["declined"])]
+            yield found[found["defect"].notna() | found["status"].isin(["cut", "open"])]
+
+    # one pass over the texts gives both the rules' findings and the tails that the judge needs
+    looked = cut_lineage(truncation.to_look(entries).withColumn("declined", declined).drop("error").mapInPandas(rules, f"{truncation.LOOKED}, defect string"))
+    flagged = looked.where("defect is not null").select("id", "defect").distinct()
+    tails = looked.drop("defect").where("status in ('cut', 'open')")
+    cut = truncation.judge_tails(entries, shortened(entries), looked=tails).where("truncated").select("id")
     useless = flagged.where("defect <> 'wrong_language'").select("id")
     return flagged.unionByName(cut.join(useless, "id", "left_anti").select("id", F.lit("truncated").alias("defect")))

@@ -22,7 +22,7 @@ def _p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
-    judged = truncation.judge_tails(truncation.entries_of(spark.read.parquet(f"{d}/journal.parquet")))
+    judged = truncation.judge_tails(truncation.entries_of(spark.read.parquet(f"{d}/journal.parquet")), keep_whole=False)
     return judged.where("truncated").select("id")
 
 

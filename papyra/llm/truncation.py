@@ -147,9 +147,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(s) < 4 or s[0] in "{|`":
                     continue
                 item = _ITEM.match(s)
-                if k == len(parts) - 1 and not _DONE.search(s):
-                    continue
-                if not item and not _DONE.search(s) and s[-1] not in ".!?。！？":
+                done = s[-1] in ".!?。！？" or _DONE.search(s)
+                if not done and (not item or k == len(parts) - 1):
                     continue
                 a, z, n = keys_of(_ITEM.sub("", s))
                 f = frames.setdefault(("•" if item else a, z), [0, n])
@@ -188,21 +187,34 @@ def length_spikes(entries: DataFrame) -> DataFrame:
     return counts.withColumn("usual", F.percentile_approx("n", 0.5).over(around)).where("n >= 8 and n >= 6 * usual and n_tokens >= 64").select("model", "n_tokens")
 
 
-def judge_tails(entries: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+LOOKED = "id string, experiment string, provider string, model string, limited boolean, n_tokens long, status string, why string, token string, a string, z string, n_words int, line string"
+
+
+def look(batch: pd.DataFrame, keep_whole: bool = True) -> pd.DataFrame:
+    """The tails of a batch of entries, with the columns of LOOKED."""
+    t = [tail(o, p) for o, p in zip(batch["output"], batch["prompt"])]
+    if not keep_whole:
+        rest = [i for i, x in enumerate(t) if x[0] in ("cut", "open")]
+        batch, t = batch.iloc[rest], [t[i] for i in rest]
+    kept = batch[["id", "experiment", "provider", "model", "limited", "n_tokens"]].reset_index(drop=True)
+    return pd.concat([kept, pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line"])], axis=1)
+
+
+def to_look(entries: DataFrame) -> DataFrame:
+    limited = F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False)).alias("limited")
+    return entries.select("id", "experiment", "provider", "model", "output", "prompt", limited, "n_tokens", "error")
+
+
+def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole: bool = True, looked: DataFrame | None = None) -> DataFrame:
     """id, experiment, provider, model, truncated, why of every entry, once each.
 
     Null and empty outputs are not truncated. extra: ids of answers that another answer continues;
     it decides only what would stay open. Ties need no rule: every count is compared with a bound.
+    keep_whole=False leaves out entries whose structure already shows a whole answer. looked: their
+    tails, where they are at hand.
     """
-    ddl = "id string, experiment string, provider string, model string, limited boolean, n_tokens long, status string, why string, token string, a string, z string, n_words int, line string"
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            t = [tail(o, p) for o, p in zip(b["output"], b["prompt"])]
-            yield pd.concat([b[["id", "experiment", "provider", "model", "limited", "n_tokens"]].reset_index(drop=True), pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line"])], axis=1)
-
-    limited = F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False)).alias("limited")
-    looked = entries.select("id", "experiment", "provider", "model", "output", "prompt", limited, "n_tokens").mapInPandas(look, ddl)
+    if looked is None:
+        looked = to_look(entries).drop("error").mapInPandas(lambda batches: (look(b, keep_whole) for b in batches), LOOKED)
     # both are read in several places: written once
     looked = cut_lineage(looked.dropDuplicates(["id"]))
     counts = cut_lineage(corpus_counts(entries))
