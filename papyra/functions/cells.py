@@ -92,8 +92,9 @@ def slide_range(expression: Column, count: Column) -> Column:
     def one(part: Column) -> Column:
         lo = number(F.substring_index(part, "-", 1))
         hi = F.when(F.contains(part, F.lit("-")), number(F.substring_index(part, "-", -1))).otherwise(lo)
+        known = lo.isNotNull() & hi.isNotNull()
         lo, hi = F.greatest(lo, F.lit(1)), F.least(hi, count)
-        return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+        return F.when(known & (lo <= hi), F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.transform(F.split(expression, ","), one), lambda a: F.transform(a, lambda x: x - 1)))))
 

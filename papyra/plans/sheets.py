@@ -97,7 +97,7 @@ def sink_vision(t):
 _RANGE = "(SELECT doc_id, section_index, CASE section_index % 4 WHEN 0 THEN '1-5,7' WHEN 1 THEN '5-3' WHEN 2 THEN 'x,2' ELSE '3abc, 1-2,9-99' END AS x, 6 AS n FROM sections)"
 
 
-@catalog.add("parse_slide_range", f"""SELECT doc_id, section_index, coalesce(list_sort(list_distinct(flatten(list_transform(string_split(x, ','), lambda p: list_transform(range(greatest(1, CAST(nullif(regexp_extract(split_part(p, '-', 1), '^\\s*(\\d+)', 1), '') AS INT)),
+@catalog.add("parse_slide_range", f"""SELECT doc_id, section_index, coalesce(list_sort(list_distinct(flatten(list_transform(list_filter(string_split(x, ','), lambda p: regexp_matches(split_part(p, '-', 1), '^\\s*\\d') AND regexp_matches(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END, '^\\s*\\d')), lambda p: list_transform(range(greatest(1, CAST(nullif(regexp_extract(split_part(p, '-', 1), '^\\s*(\\d+)', 1), '') AS INT)),
     1 + least(n, CAST(nullif(regexp_extract(CASE WHEN contains(p, '-') THEN split_part(p, '-', 2) ELSE p END, '^\\s*(\\d+)', 1), '') AS INT))), lambda i: CAST(i - 1 AS INT)))))), []) AS slides FROM {_RANGE}""")
 def parse_slide_range(t):
     k = F.col("section_index") % 4

@@ -17,7 +17,7 @@ PAGES = "path string, error string, page_index int, width_pt double, height_pt d
 
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOW = re.compile(rb"\[((?:\\.|[^\]])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")|<([0-9A-Fa-f\s]*)>\s*Tj|(T\*|TD|Td|ET)\b", re.S)
+_SHOW = re.compile(rb"\[((?:\\.|[^\]])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")|<([0-9A-Fa-f\s]*)>\s*Tj|(T\*|(?:TD|Td|ET)\b)", re.S)
 _PIECE = re.compile(rb"\(((?:\\.|[^()\\])*)\)|<([0-9A-Fa-f\s]*)>|(-?\d+(?:\.\d+)?)", re.S)
 _ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 _PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
