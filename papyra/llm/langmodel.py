@@ -9,6 +9,7 @@ it can be broadcast at any size of the corpus.
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 from collections import defaultdict
@@ -24,6 +25,8 @@ from papyra.llm.langs import CODES, normal_column
 ROWS_PER_LANGUAGE = 6000
 TYPES = 12000
 LONGEST = 5
+#: A row counts a word so many times at most, so that one long text with a wrong label teaches nothing.
+ROW_CAP = 2
 
 #: Letters in runs; a run of one script among Han, Kana and Hangul counts as one word.
 WORD = re.compile(r"[぀-ヿー]+|[㐀-鿿豈-﫿々]+|[가-힯ᄀ-ᇿ]+|(?:(?![぀-ヿ㐀-鿿豈-﫿가-힯])[^\W\d_])+")
@@ -202,16 +205,17 @@ def _top_words(tokens: DataFrame) -> dict[tuple[str, str], int]:
     return {(r.lang, r.w): r.n for r in rows.toLocalIterator()}
 
 
-def fit(df: DataFrame, text: str, label: str, keys: list[str]) -> LanguageModel:
+def fit(df: DataFrame, text: str, label: str, keys: list[str], rows_per_language: int = ROWS_PER_LANGUAGE, refine: bool = True) -> LanguageModel:
     """Fit on a bounded sample of df's labelled rows. Rows without text or language are left out.
 
     With no labelled row at all the model is empty and gives every language the same score.
+    refine=False leaves out the second pass: enough to tell the language of whole documents.
     """
     rows = df.select(*keys, F.col(text).alias("t"), normal_column(F.col(label)).alias("lang")).where("lang is not null and length(t) > 0")
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return _build({})
-    share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, ROWS_PER_LANGUAGE / n)))])
+    share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
     draw = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.where(draw < F.try_element_at(share, F.col("lang"))).select("t", "lang")
 
@@ -219,11 +223,13 @@ def fit(df: DataFrame, text: str, label: str, keys: list[str]) -> LanguageModel:
         for b in batches:
             c: dict[tuple[str, str], int] = defaultdict(int)
             for t, lang in zip(b["t"], b["lang"]):
-                for w in words(t):
-                    c[lang, w] += 1
+                for w, n in collections.Counter(words(t)).items():
+                    c[lang, w] += min(n, ROW_CAP)
             yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["lang", "w", "n"])
 
     first = _build(_top_words(sample.mapInPandas(count, "lang string, w string, n long")))
+    if not refine:
+        return first
     shared = df.sparkSession.sparkContext.broadcast(first)
 
     def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,10 +237,13 @@ def fit(df: DataFrame, text: str, label: str, keys: list[str]) -> LanguageModel:
         for b in batches:
             c: dict[tuple[str, str], int] = defaultdict(int)
             for t in b["t"]:
+                of: dict[str, collections.Counter[str]] = defaultdict(collections.Counter)
                 for a, z, lang, conf in m.spans(t):
                     if conf > 0.8:
-                        for w in words(t[a:z]):
-                            c[lang, w] += 1
+                        of[lang].update(words(t[a:z]))
+                for lang, found in of.items():
+                    for w, n in found.items():
+                        c[lang, w] += min(n, ROW_CAP)
             yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["lang", "w", "n"])
 
     return _build(_top_words(sample.mapInPandas(recount, "lang string, w string, n long")))

@@ -11,12 +11,12 @@ Whatever reaches the driver is bounded by VOCABULARY, RANK and the number of sub
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,114 +28,193 @@ VOCABULARY = 16000
 RANK = 128
 POWER_STEPS = 2
 ROUNDS = 4
+#: Refinement ends early once no coordinate of a centroid moves by so much.
+SETTLED = 0.02
+#: Labelled rows of each language that tell the languages of documents apart.
+LANGUAGE_ROWS = 1500
 #: Documents that seed the centroids: a bounded sample of labelled rows.
 SEED_DOCUMENTS = 20000
 SHARE = 0.25
 #: Cosine from which a sentence belongs to a subject, the lead over the next subject that makes it certain,
-#: the cosine that is enough where the rest of the document leans the same way, and the weight of terms it needs.
+#: the cosine that is enough where the rest of the document leans the same way, and the weight of its terms as a
+#: part of that of a telling term.
 COSINE = 0.7
 LEAD = 0.08
 LEANING = 0.5
-MASS = 0.8
+MASS = 0.35
 BLOCKS = 32
 
 _BRACKETS = re.compile(r"\[[^\[\]\n]*\]")
 _SENTENCE_END = re.compile(r"(?<=[.!?])[\"”’»)\]*_]*\s+|(?<=[。！？])[」』”’]*\s*")
 _MARKED = re.compile(r"[.!?。！？][\"'”’»)\]*_」』]*$")
-_SKIP = re.compile(r"^\s*(?:#{1,6}\s|\||[-=_*~]{3,}\s*$|>\s*\[)|\t")
+_SKIP = re.compile(r"^\s*(?:#{1,6}\s|\||[-=_*~]{3,}\s*$|>\s*\[)")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
+_TOKEN = re.compile(r"\x01|[^\W\d_]+")
+_DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_RUN = re.compile(r"[぀-ヿー]+|[㐀-鿿豈-﫿々]+|[가-힯]+|[^\W\d_]+?(?=[぀-ヿ㐀-鿿가-힯]|$)")
+#: What ends a sentence in a document's row of terms, as no hash of a term is negative.
+END = -1
 
 
 def sentences(text: str) -> list[str]:
     """Sentences of running text: no headings, table rows, bracketed notes, nor lines without an end mark."""
     out = []
-    for paragraph in re.split(r"\n\s*\n", _BRACKETS.sub(" ", text)):
-        lines = [_ITEM.sub("", x) for x in paragraph.split("\n") if x.strip() and not _SKIP.search(x)]
-        for s in _SENTENCE_END.split("\n".join(lines)):
-            # greetings and signatures stand on lines of their own: what follows the last end mark is no sentence
+    for paragraph in (_BRACKETS.sub(" ", text) if "[" in text else text).split("\n\n"):
+        lines = []
+        for x in paragraph.split("\n"):
+            if "\t" in x or _SKIP.match(x):
+                continue
+            x = _ITEM.sub("", x).strip()
+            if x:
+                lines.append(x)
+        if not lines:
+            continue
+        parts = _SENTENCE_END.split("\n".join(lines))
+        for k, s in enumerate(parts):
+            # what follows the last end mark, such as a greeting or a signature, is no sentence
             s = s.strip()
-            if s and _MARKED.search(s):
-                out.append(" ".join(s.split("\n")))
+            if s and (k + 1 < len(parts) or _MARKED.search(s)):
+                out.append(s.replace("\n", " "))
     return out
 
 
-def terms(sentence: str) -> list[str]:
-    """Words; of runs of Han their pairs of characters."""
+def terms(text: str) -> list[str]:
+    """Words, and the mark \\x01 where the text holds it; of runs of Han their pairs of characters."""
+    found = _TOKEN.findall(text.lower())
+    if not _DENSE.search(text):
+        return found
     out = []
-    for w in langmodel.words(sentence):
-        if "㐀" <= w[0] <= "鿿" and len(w) > 1:
-            out += [w[i : i + 2] for i in range(len(w) - 1)]
-        else:
-            out.append(w)
+    for token in found:
+        if token == "\x01" or not _DENSE.search(token):
+            out.append(token)
+            continue
+        for w in _RUN.findall(token):
+            if "㐀" <= w[0] <= "鿿" and len(w) > 1:
+                out += [w[i : i + 2] for i in range(len(w) - 1)]
+            else:
+                out.append(w)
     return out
 
 
+def hashed(term: str) -> int:
+    """31-bit hash of a term: documents travel as numbers."""
+    return xxhash.xxh32_intdigest(term) & 0x7FFFFFFF
+
+
 @dataclass
 class Space:
     """Vocabulary, base weights, term vectors, and what refinement adds."""
 
-    index: dict[str, int]
+    index: np.ndarray  # hashes of the terms, sorted
     weight: np.ndarray
     vectors: np.ndarray
     subjects: list[str]
     centroids: np.ndarray  # subject, language, RANK; zero where a language has no seed
 
+    def least_mass(self) -> float:
+        """Weight of terms from which a sentence can have a subject."""
+        return MASS * float(np.percentile(self.weight, 90)) if len(self.weight) else 0.0
 
-def _split_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Flat ids without separators, sentence number of each, number of sentences. -1 ends a sentence."""
-    ends = ids == -1
-    sentence = np.cumsum(ends) - ends
-    keep = ids >= 0
-    return ids[keep], sentence[keep], int(ends.sum())
 
+class Batch:
+    """Rows of a batch side by side: weighted terms, the sentence of each, and the document of each sentence."""
 
-def tokenise(documents: DataFrame, model: langmodel.LanguageModel) -> tuple[DataFrame, dict[str, int], np.ndarray]:
-    """(doc_id, lang, ids; index; base weight). ids: terms of the vocabulary, -1 at each sentence's end, -2 for other terms.
+    def __init__(self, rows: list, vocabulary: int):
+        sizes = np.fromiter((len(x) for x in rows), dtype=np.int64, count=len(rows))
+        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows]) if len(rows) and sizes.sum() else np.zeros(0, dtype=np.int64)
+        ends = flat == END
+        document = np.repeat(np.arange(len(rows)), sizes)
+        sentence = np.cumsum(ends) - ends
+        keep = (flat >= 0) & (flat < vocabulary)
+        self.terms, self.sentence = flat[keep], sentence[keep]
+        self.document = document[ends]  # of each sentence
+        self.sentences = int(ends.sum())
+        self.documents = len(rows)
 
-    Document frequencies are counted over all documents, by language; the vocabulary holds the
-    most frequent terms that are not common in their language. Null texts have no sentence.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def tokenise(documents: DataFrame, model: langmodel.LanguageModel) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(doc_id, lang, ids; hashes of the vocabulary; base weight). END closes each sentence; other terms are left out.
+
+    The texts are read once and written as hashes of their terms. Document frequencies are counted
+    over all documents, by language; the vocabulary holds the most frequent terms that are not
+    common in their language. Null texts have no sentence.
+    """
+    sc = documents.sparkSession.sparkContext
+    # scores of the words the language model knows, by hash
+    known = sorted((hashed(w), w) for w in model.words)
+    table = np.array([model.words[w] for _, w in known], dtype=np.float32).reshape(-1, len(CODES))
+    shared = sc.broadcast((np.array([h for h, _ in known], dtype=np.int64), table))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, int] = {"\x01": END}
+        hashes, scores = shared.value
         for b in batches:
-            df: dict[tuple[int, str], int] = defaultdict(int)
+            rows, langs = [], []
             for t in b["text"]:
-                found = {w for s in sentences(t) for w in terms(s)}
-                if found:
-                    k = int(np.argmax(shared.value.totals(t)))
-                    df[k, ""] += 1
-                    for w in found:
-                        df[k, w] += 1
-            yield pd.DataFrame([(k, w, n) for (k, w), n in df.items() if len(w) <= 40], columns=["lang", "term", "n"])
+                found = terms("\x01 ".join(sentences(t)) + "\x01") if t else []
+                row = []
+                for w in found:
+                    h = cache.get(w)
+                    if h is None:
+                        h = hashed(w)
+                        if len(cache) < 500_000:
+                            cache[w] = h
+                    row.append(h)
+                rows.append(np.array(row if row != [END] else [], dtype=np.int32))
+                langs.append(_language(t, rows[-1], hashes, scores))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": langs, "ids": rows})
 
     texts = documents.where("length(text) > 0").select("doc_id", "text")
-    counts = cut_lineage(texts.select("text").mapInPandas(count, "lang int, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.where("term = ''").collect()}
-    if not totals:
-        totals = {0: 1}
+    raw = cut_lineage(texts.mapInPandas(read, "doc_id long, lang int, ids array<int>"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for lang, g in b.groupby("lang")["ids"]:
+                of = [np.unique(x) for x in g if len(x)]
+                if of:
+                    t, n = np.unique(np.concatenate(of), return_counts=True)
+                    parts.append(pd.DataFrame({"lang": lang, "term": t, "n": n}))
+            if parts:
+                yield pd.concat(parts)
+
+    # END stands for the number of documents
+    counts = cut_lineage(raw.select("lang", "ids").mapInPandas(count, "lang int, term int, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")))
+    totals = {r.lang: r.n for r in counts.where(F.col("term") == END).collect()} or {0: 1}
     size = F.try_element_at(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("lang"))
     # idf in the term's own language, so that the words every text of a language uses weigh nothing
-    scored = counts.where("term <> '' and n >= 3").groupBy("term").agg(F.max_by(F.struct("n", size.alias("size")), F.struct(F.col("n") / size, "lang")).alias("x"), F.sum("n").alias("df"))
+    scored = counts.where((F.col("term") >= 0) & (F.col("n") >= 3)).groupBy("term").agg(F.max_by(F.struct("n", size.alias("size")), F.struct(F.col("n") / size, "lang")).alias("x"), F.sum("n").alias("df"))
     scored = scored.select("term", "df", F.log(F.col("x.size") / F.col("x.n")).alias("idf")).where("idf > 0.9")
-    top = scored.orderBy(F.desc("df"), "term").limit(VOCABULARY).collect()
-    index = {r.term: i for i, r in enumerate(top)}
+    top = sorted(scored.orderBy(F.desc("df"), "term").limit(VOCABULARY).select("term", "idf").collect())
+    index = np.array([r.term for r in top], dtype=np.int64)
     weight = np.array([r.idf - 0.5 for r in top], dtype=np.float32)
-    words = documents.sparkSession.sparkContext.broadcast(index)
+    places = sc.broadcast(index)
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = words.value
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = places.value
         for b in batches:
             rows = []
-            for t in b["text"]:
-                flat: list[int] = []
-                for s in sentences(t):
-                    flat += [at.get(w, -2) for w in terms(s)]
-                    flat.append(-1)
-                rows.append((int(np.argmax(shared.value.totals(t))), [i for i in flat if i != -2]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": [k for k, _ in rows], "ids": [x for _, x in rows]})
+            for x in b["ids"]:
+                x = np.asarray(x, dtype=np.int64)
+                i = np.searchsorted(at, x)
+                hit = (i < len(at)) & (at[np.minimum(i, len(at) - 1)] == x) if len(at) else np.zeros(len(x), dtype=bool)
+                rows.append(np.where(x == END, END, i)[hit | (x == END)].astype(np.int32))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "ids": rows})
+
+    return cut_lineage(raw.mapInPandas(place, "doc_id long, lang int, ids array<int>")), index, weight
 
-    return cut_lineage(texts.mapInPandas(ids, "doc_id long, lang int, ids array<int>")), index, weight
+
+def _language(text: str, ids: np.ndarray, hashes: np.ndarray, scores: np.ndarray) -> int:
+    """Number of the language whose known words fit best; scripts of their own need no words."""
+    if _DENSE.search(text):
+        kana, han = len(re.findall("[぀-ヿ]", text)), len(re.findall("[㐀-鿿]", text))
+        if kana + han > 0.2 * len(text):
+            return CODES.index("jpn" if kana > 0.1 * han else "zho")
+    if not len(hashes) or not len(ids):
+        return 0
+    i = np.minimum(np.searchsorted(hashes, ids), len(hashes) - 1)
+    hit = i[hashes[i] == ids]
+    return int(scores[hit].sum(axis=0).argmax()) if len(hit) else 0
 
 
 def _summed(df: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -158,7 +237,7 @@ def _summed(df: DataFrame, rows: int, width: int) -> np.ndarray:
 def decompose(docs: DataFrame, weight: np.ndarray, rank: int = RANK, steps: int = POWER_STEPS) -> np.ndarray:
     """Vectors of the terms: leading right singular vectors of the weighted document-term matrix, scaled."""
     n = len(weight)
-    rank = max(1, min(rank, n))
+    rank = max(1, min(rank, max(2, n // 4), n))  # a space as wide as the vocabulary would keep every term apart
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((max(n, 1), rank)))[0].astype(np.float32)
     values = np.ones(rank)
     sc = docs.sparkSession.sparkContext
@@ -173,7 +252,7 @@ def decompose(docs: DataFrame, weight: np.ndarray, rank: int = RANK, steps: int
             for b in batches:
                 part = int(b["part"].iloc[0]) if len(b) else part
                 for x in b["ids"]:
-                    t = np.asarray(x, dtype=np.int64)
+                    t = np.asarray(x)
                     t, tf = np.unique(t[t >= 0], return_counts=True)
                     if len(t):
                         v = (1 + np.log(tf)) * b_w[t]
@@ -193,32 +272,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def sentence_vectors(ids: np.ndarray, space: Space) -> tuple[np.ndarray, np.ndarray]:
+def sentence_vectors(batch: Batch, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """A row for each sentence, and the weight of its terms; both zero where it holds no weighted term."""
-    flat, sentence, n = _split_ids(ids)
-    out, mass = np.zeros((n, space.vectors.shape[1]), dtype=np.float32), np.zeros(n)
-    if len(flat):
-        np.add.at(out, sentence, space.vectors[flat] * space.weight[flat, None])
-        np.add.at(mass, sentence, space.weight[flat])
+    out, mass = np.zeros((batch.sentences, space.vectors.shape[1]), dtype=np.float32), np.zeros(batch.sentences)
+    telling = space.weight[batch.terms] > 0.02
+    t, s = batch.terms[telling], batch.sentence[telling]
+    if len(t):
+        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        w = space.weight[t]
+        mass[s[begin]] = np.add.reduceat(w, begin)
+        for a in range(0, len(begin), 4096):  # in parts, as a row of terms is as wide as the space
+            lo, hi = begin[a], begin[a + 4096] if a + 4096 < len(begin) else len(t)
+            part = begin[a : a + 4096]
+            out[s[part]] = np.add.reduceat(space.vectors[t[lo:hi]] * w[lo:hi, None], part - lo)
     return out, mass
 
 
-def assign(ids: np.ndarray, lang: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
-    """(subject number of each sentence or -1, its vectors). A doubtful sentence follows the rest of its document."""
-    v, mass = sentence_vectors(ids, space)
-    if not len(v) or not len(space.subjects):
-        return np.full(len(v), -1), v
-    cos = np.where(mass[:, None] >= MASS, _unit(v) @ space.centroids[:, lang].T, 0)
+def assign(batch: Batch, langs: np.ndarray, space: Space, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(subject number of each sentence or -1, its unit vectors). A doubtful sentence follows the rest of its document."""
+    v, mass = sentence_vectors(batch, space)
+    v = _unit(v)
+    k = len(space.subjects)
+    if not batch.sentences or not k:
+        return np.full(batch.sentences, -1), v
+    cos = np.zeros((batch.sentences, k), dtype=np.float32)
+    lang = langs[batch.document]
+    for j in np.unique(lang):
+        mine = lang == j
+        cos[mine] = v[mine] @ space.centroids[:, j].T
+    cos[mass < max(least, 1e-6)] = 0
     best = cos.argmax(axis=1)
     top = np.sort(cos, axis=1)
-    sure = (top[:, -1] >= COSINE) & (top[:, -1] - (top[:, -2] if cos.shape[1] > 1 else 0) >= LEAD)
-    share = np.bincount(best[sure], minlength=cos.shape[1]) / max(1, sure.sum())
+    sure = (top[:, -1] >= COSINE) & (top[:, -1] - (top[:, -2] if k > 1 else 0) >= LEAD)
+    share = np.zeros((batch.documents, k))
+    np.add.at(share, (batch.document[sure], best[sure]), 1)
+    share = (share / np.maximum(share.sum(axis=1, keepdims=True), 1))[batch.document]
     leaning = (cos + 0.25 * share).argmax(axis=1)
-    rows = np.arange(len(v))
-    enough = (cos[rows, leaning] >= COSINE) | (cos[rows, leaning] >= LEANING) & (share[leaning] > 0)
+    rows = np.arange(batch.sentences)
+    enough = (cos[rows, leaning] >= COSINE) | (cos[rows, leaning] >= LEANING) & (share[rows, leaning] > 0)
     return np.where(sure, best, np.where(enough, leaning, -1)), v
 
 
+def _batches(frames: Iterator[pd.DataFrame], size: int = 1000) -> Iterator[pd.DataFrame]:
+    for b in frames:
+        for a in range(0, len(b), size):
+            yield b.iloc[a : a + size]
+
+
 def _round(docs: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """(sum of sentence vectors by subject and language, counts of terms by subject) over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
@@ -227,27 +327,26 @@ def _round(docs: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
+        least = s.least_mass()
         centre, counts, part = np.zeros((k, len(CODES), width)), np.zeros((n, k)), 0
-        for b in batches:
-            part = int(b["part"].iloc[0]) if len(b) else part
-            for lang, x in zip(b["lang"], b["ids"]):
-                ids = np.asarray(x, dtype=np.int64)
-                subject, v = assign(ids, lang, s)
-                v = _unit(v)
-                flat, sentence, _ = _split_ids(ids)
-                for j in range(k):
-                    mine = subject == j
-                    if mine.any():
-                        centre[j, lang] += v[mine].sum(axis=0)
-                # a term counts for the subjects of the document's other sentences, so that what any
-                # text says cannot vouch for itself
-                total = np.bincount(subject[subject >= 0], minlength=k).astype(float)
-                if total.any() and len(flat):
-                    others = np.tile(total, (len(subject), 1))
-                    own = np.flatnonzero(subject >= 0)
-                    others[own, subject[own]] -= 1
-                    others /= np.maximum(others.sum(axis=1, keepdims=True), 1)
-                    np.add.at(counts, flat, others[sentence])
+        for b in _batches(batches):
+            part = int(b["part"].iloc[0])
+            batch, langs = Batch(list(b["ids"]), n), b["lang"].to_numpy()
+            subject, v = assign(batch, langs, s, least)
+            lang = langs[batch.document]
+            for j in range(k):
+                for z in np.unique(lang[subject == j]):
+                    centre[j, z] += v[(subject == j) & (lang == z)].sum(axis=0)
+            # a term counts for the subjects of the document's other sentences, so that what any
+            # text says cannot vouch for itself
+            own = np.flatnonzero(subject >= 0)
+            total = np.zeros((batch.documents, k))
+            np.add.at(total, (batch.document[own], subject[own]), 1)
+            others = total[batch.document]
+            others[own, subject[own]] -= 1
+            others /= np.maximum(others.sum(axis=1, keepdims=True), 1)
+            for j in range(k):
+                counts[:, j] += np.bincount(batch.terms, weights=others[batch.sentence, j], minlength=n)[:n]
         yield pd.DataFrame([(-1, part % 16, centre.tobytes()), *[(j, part % 16, counts[edges[j] : edges[j + 1]].tobytes()) for j in range(BLOCKS)]], columns=["block", "part", "data"])
 
     partial = cut_lineage(docs.withColumn("part", F.spark_partition_id()).mapInPandas(sums, "block int, part int, data binary"))
@@ -260,11 +359,11 @@ def _round(docs: DataFrame, space: Space) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, Space]:
     """(tokenised documents, space). labels: doc_id, subject, given by hand and partly wrong; doubled rows count once."""
-    model = langmodel.fit(documents, "text", "lang", ["doc_id"])
+    model = langmodel.fit(documents, "text", "lang", ["doc_id"], LANGUAGE_ROWS, refine=False)
     docs, index, weight = tokenise(documents, model)
     names = sorted(r.subject for r in subjects.select("subject").where("subject is not null").distinct().collect())
-    space = Space(index, weight, decompose(docs, weight) if index else np.zeros((0, 1), np.float32), names, np.zeros((len(names), len(CODES), RANK)))
-    if not names or not index:
+    space = Space(index, weight, decompose(docs, weight) if len(index) else np.zeros((0, 1), np.float32), names, np.zeros((len(names), len(CODES), RANK)))
+    if not names or not len(index):
         space.centroids = np.zeros((len(names), len(CODES), space.vectors.shape[1]))
         return docs, space
     at = {s: i for i, s in enumerate(names)}
@@ -277,7 +376,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
             total: dict[tuple[int, int], np.ndarray] = {}
             for s, lang, x in zip(b["subject"], b["lang"], b["ids"]):
                 if s in at:
-                    v = _unit(sentence_vectors(np.asarray(x, dtype=np.int64), shared.value)[0].sum(axis=0))
+                    v = _unit(sentence_vectors(Batch([x], len(weight)), shared.value)[0].sum(axis=0))
                     total[at[s], lang] = total.get((at[s], lang), 0) + v
             yield pd.DataFrame([(s, k, [float(y) for y in v]) for (s, k), v in total.items()], columns=["s", "lang", "v"])
 
@@ -287,8 +386,11 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     space.centroids = _unit(centre)
     for _ in range(ROUNDS):
         sums, counts = _round(docs, space)
+        before = space.centroids
         # the seed keeps a part of each centroid, so that a subject cannot drift away
         space.centroids = _unit(0.3 * _unit(centre) + _unit(sums))
+        if np.abs(space.centroids - before).max() < SETTLED:
+            break
         share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * len(names))
         entropy = -(share * np.log(share)).sum(axis=1) / np.log(max(2, len(names)))
         space.weight = (weight * np.clip(1.15 - entropy, 0.0, 1.0) ** 1.5).astype(np.float32)
@@ -306,14 +408,14 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared.value
-        for b in batches:
-            rows = []
-            for i, lang, x in zip(b["doc_id"], b["lang"], b["ids"]):
-                subject, _ = assign(np.asarray(x, dtype=np.int64), lang, s)
-                if len(subject):
-                    for j, n in zip(*np.unique(subject[subject >= 0], return_counts=True)):
-                        if n >= least * len(subject):
-                            rows.append((i, s.subjects[j], float(n / len(subject)), len(subject)))
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "share", "sentences"])
+        mass, k = s.least_mass(), len(s.subjects)
+        for b in _batches(batches):
+            batch = Batch(list(b["ids"]), len(s.weight))
+            subject, _ = assign(batch, b["lang"].to_numpy(), s, mass)
+            counts = np.zeros((batch.documents, max(1, k)))
+            np.add.at(counts, (batch.document[subject >= 0], subject[subject >= 0]), 1)
+            n = np.bincount(batch.document, minlength=batch.documents)
+            i, j = np.nonzero((counts > 0) & (counts >= least * n[:, None]))
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "subject": [s.subjects[x] for x in j], "share": counts[i, j] / np.maximum(n[i], 1), "sentences": n[i].astype(np.int32)})
 
     return docs.mapInPandas(judge, "doc_id long, subject string, share double, sentences int").dropDuplicates(["doc_id", "subject"])
