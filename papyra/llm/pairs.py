@@ -197,7 +197,9 @@ def find_defects(journal: DataFrame, labelled: DataFrame, text: str = "text_samp
         for b in batches:
             found = truncation.look(b)
             found["defect"] = [defect(p, o, no, m) for p, o, no in zip(b["prompt"], b["output"], b["declined"])]
-            yield found[found["defect"].notna() | found["status"].isin(["cut", "open"])]
+            found = found[found["defect"].notna() | found["status"].isin(["cut", "open"])]
+            if len(found):
+                yield found
 
     # one pass over the texts gives both the rules' findings and the tails that the judge needs
     looked = cut_lineage(truncation.to_look(entries).withColumn("declined", declined).drop("error").mapInPandas(rules, f"{truncation.LOOKED}, defect string"))

@@ -28,8 +28,10 @@ VOCABULARY = 16000
 RANK = 128
 POWER_STEPS = 2
 ROUNDS = 4
-#: Refinement ends early once no coordinate of a centroid moves by so much.
-SETTLED = 0.02
+#: Refinement ends early once the cosine between old and new centroids, by their sentences, is within this of 1.
+SETTLED = 0.001
+#: Terms of less weight are left out of a sentence's vector.
+NEGLIGIBLE = 0.02
 #: Labelled rows of each language that tell the languages of documents apart.
 LANGUAGE_ROWS = 1500
 #: Documents that seed the centroids: a bounded sample of labelled rows.
@@ -101,6 +103,16 @@ def hashed(term: str) -> int:
     return xxhash.xxh32_intdigest(term) & 0x7FFFFFFF
 
 
+class _Hashes(dict):
+    """Hashes of terms seen before; of a bounded number."""
+
+    def __missing__(self, term: str) -> int:
+        h = hashed(term)
+        if len(self) < 500_000:
+            self[term] = h
+        return h
+
+
 @dataclass
 class Space:
     """Vocabulary, base weights, term vectors, and what refinement adds."""
@@ -146,20 +158,13 @@ def tokenise(documents: DataFrame, model: langmodel.LanguageModel) -> tuple[Data
     shared = sc.broadcast((np.array([h for h, _ in known], dtype=np.int64), table))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {"\x01": END}
+        cache = _Hashes({"\x01": END})
         hashes, scores = shared.value
         for b in batches:
             rows, langs = [], []
             for t in b["text"]:
                 found = terms("\x01 ".join(sentences(t)) + "\x01") if t else []
-                row = []
-                for w in found:
-                    h = cache.get(w)
-                    if h is None:
-                        h = hashed(w)
-                        if len(cache) < 500_000:
-                            cache[w] = h
-                    row.append(h)
+                row = list(map(cache.__getitem__, found))
                 rows.append(np.array(row if row != [END] else [], dtype=np.int32))
                 langs.append(_language(t, rows[-1], hashes, scores))
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": langs, "ids": rows})
@@ -275,16 +280,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def sentence_vectors(batch: Batch, space: Space) -> tuple[np.ndarray, np.ndarray]:
     """A row for each sentence, and the weight of its terms; both zero where it holds no weighted term."""
     out, mass = np.zeros((batch.sentences, space.vectors.shape[1]), dtype=np.float32), np.zeros(batch.sentences)
-    telling = space.weight[batch.terms] > 0.02
+    telling = space.weight[batch.terms] > NEGLIGIBLE
     t, s = batch.terms[telling], batch.sentence[telling]
     if len(t):
-        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         w = space.weight[t]
-        mass[s[begin]] = np.add.reduceat(w, begin)
-        for a in range(0, len(begin), 4096):  # in parts, as a row of terms is as wide as the space
-            lo, hi = begin[a], begin[a + 4096] if a + 4096 < len(begin) else len(t)
-            part = begin[a : a + 4096]
-            out[s[part]] = np.add.reduceat(space.vectors[t[lo:hi]] * w[lo:hi, None], part - lo)
+        mass = np.bincount(s, weights=w, minlength=batch.sentences)
+        # the k-th terms of all sentences at once: no sentence occurs twice among them
+        begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        place = np.arange(len(t)) - np.repeat(begin, np.diff(np.r_[begin, len(t)]))
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(min(int(place.max()) + 1, 64) + 1))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            i = order[lo:hi]
+            out[s[i]] += space.vectors[t[i]] * w[i, None]
+        rest = order[edges[-1] :]
+        for a in range(0, len(rest), 4096):
+            np.add.at(out, s[rest[a : a + 4096]], space.vectors[t[rest[a : a + 4096]]] * w[rest[a : a + 4096], None])
     return out, mass
 
 
@@ -386,14 +397,14 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> tuple[D
     space.centroids = _unit(centre)
     for _ in range(ROUNDS):
         sums, counts = _round(docs, space)
-        before = space.centroids
+        before, size = space.centroids, np.linalg.norm(sums, axis=-1)
         # the seed keeps a part of each centroid, so that a subject cannot drift away
         space.centroids = _unit(0.3 * _unit(centre) + _unit(sums))
-        if np.abs(space.centroids - before).max() < SETTLED:
-            break
         share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * len(names))
         entropy = -(share * np.log(share)).sum(axis=1) / np.log(max(2, len(names)))
-        space.weight = (weight * np.clip(1.15 - entropy, 0.0, 1.0) ** 1.5).astype(np.float32)
+        space.weight = (weight * np.clip(1.0 - entropy, 0.0, 1.0) ** 1.5).astype(np.float32)
+        if (size * (1 - (space.centroids * before).sum(axis=-1))).sum() < SETTLED * max(size.sum(), 1e-9):
+            break
     return docs, space
 
 
@@ -416,6 +427,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
             np.add.at(counts, (batch.document[subject >= 0], subject[subject >= 0]), 1)
             n = np.bincount(batch.document, minlength=batch.documents)
             i, j = np.nonzero((counts > 0) & (counts >= least * n[:, None]))
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "subject": [s.subjects[x] for x in j], "share": counts[i, j] / np.maximum(n[i], 1), "sentences": n[i].astype(np.int32)})
+            if len(i):
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i], "subject": [s.subjects[x] for x in j], "share": counts[i, j] / np.maximum(n[i], 1), "sentences": n[i].astype(np.int32)})
 
     return docs.mapInPandas(judge, "doc_id long, subject string, share double, sentences int").dropDuplicates(["doc_id", "subject"])

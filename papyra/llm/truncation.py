@@ -214,7 +214,7 @@ def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole:
     tails, where they are at hand.
     """
     if looked is None:
-        looked = to_look(entries).drop("error").mapInPandas(lambda batches: (look(b, keep_whole) for b in batches), LOOKED)
+        looked = to_look(entries).drop("error").mapInPandas(lambda batches: (x for b in batches if len(x := look(b, keep_whole))), LOOKED)
     # both are read in several places: written once
     looked = cut_lineage(looked.dropDuplicates(["id"]))
     counts = cut_lineage(corpus_counts(entries))
