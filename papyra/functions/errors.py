@@ -60,3 +60,9 @@ def wrap_phase(phase: Column, message: Column) -> Column:
         F.lower(message).rlike("abort|cancel").alias("aborted"),
         phase.isin("analyze", "extract", "render").alias("recoverable"),
     )
+
+
+def pairs_of(attributes: Column) -> Column:
+    """Attributes as sorted key=value texts; those without a value are left out."""
+    kept = F.map_entries(F.map_filter(attributes, lambda k, v: v.isNotNull()))
+    return F.sort_array(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])))

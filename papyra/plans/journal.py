@@ -68,9 +68,9 @@ def validate_output(t):
     return t.journal.where("output is not null").select("id", er.injection_flags(F.col("output"), F.lit("canary-7f3")).alias("flags"))
 
 
-@catalog.add("error_attrs", f"SELECT id, map_from_entries(list_filter([('category', {_CATEGORY}), ('message', substring(error, 1, 1024)), ('model', model)], lambda e: e[2] IS NOT NULL)) AS attrs FROM journal WHERE error IS NOT NULL")
+@catalog.add("error_attrs", f"SELECT id, list_sort(list_filter(['category=' || {_CATEGORY}, 'message=' || substring(error, 1, 1024), 'model=' || model], lambda e: e IS NOT NULL)) AS attrs FROM journal WHERE error IS NOT NULL")
 def error_attrs(t):
-    attrs = F.map_filter(F.create_map(F.lit("category"), er.error_class(F.col("error"))["category"], F.lit("message"), F.substring("error", 1, 1024), F.lit("model"), F.col("model")), lambda k, v: v.isNotNull())
+    attrs = er.pairs_of(F.create_map(F.lit("category"), er.error_class(F.col("error"))["category"], F.lit("message"), F.substring("error", 1, 1024), F.lit("model"), F.col("model")))
     return t.journal.where("error is not null").select("id", attrs.alias("attrs"))
 
 
