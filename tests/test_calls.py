@@ -25,13 +25,12 @@ def test_with_retry():
     assert [ca.delay_ms(i, "") for i in range(6)] == [1000, 2000, 4000, 8000, 16000, 30000]
 
 
-def client(context: str, text: str) -> str:
-    if text == "bad":
-        raise ValueError("invalid")
-    return f"[{context}]{text}"
-
-
 def test_format_pages(spark):
+    def client(context: str, text: str) -> str:
+        if text == "bad":
+            raise ValueError("invalid")
+        return f"[{context}]{text}"
+
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "bad"), (1, 2, None), (2, 0, "x")], "doc_id long, page_index int, text string")
     got = {(r.doc_id, r.page_index): r for r in ca.format_pages(df, client, wait=False).collect()}
     assert got[1, 0].output == "[]a" and got[1, 1].error and got[1, 2].output == "[[]a]" and got[2, 0].output == "[]x"
