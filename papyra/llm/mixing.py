@@ -134,5 +134,6 @@ def mix_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     goal = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").distinct()
     got = drawn.groupBy("source").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_repeats"))
     g = goal.join(got, "source", "left").withColumns({"uses": F.coalesce("uses", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
-    total = g.agg(F.sum("tokens").alias("__total"))
-    return g.join(F.broadcast(total)).withColumn("actual_share", F.round(F.col("tokens") / F.nullif(F.col("__total"), F.lit(0)), 6)).drop("__total")
+    # one row for each source of the targets, which is a small table
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+    return g.withColumn("actual_share", F.round(F.col("tokens") / F.nullif(total, F.lit(0)), 6))
