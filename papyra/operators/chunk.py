@@ -69,7 +69,7 @@ def parse_sections(text: str) -> list[Section]:
                 fence = ""
         if heading:
             level = len(heading.group(1))
-            while path[-1].level >= level:
+            while path[-1].level == 0 or path[-1].level >= level:
                 path.pop()
             section = Section(level, heading.group(2).strip())
             path[-1].children.append(section)
