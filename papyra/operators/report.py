@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra import fixed
@@ -15,33 +15,74 @@ from papyra.operators import runs as op
 PART = 1000
 
 
+def _in_parts(documents: DataFrame) -> DataFrame:
+    """The documents with the name of their source and the number of their part of it."""
+    return documents.withColumn("source", F.coalesce("source", F.lit("none"))).withColumn("number", F.floor(F.col("doc_id") / PART))
+
+
 def documents_as_units(documents: DataFrame) -> DataFrame:
     """Documents as units of their source: doc_id is a part of a source, unit_index the place within it."""
-    part = F.concat_ws("#", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / PART).cast("string"))
+    part = F.concat_ws("#", "source", F.col("number").cast("string"))
     chars = tx.char_count(F.col("text"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1
-    return documents.withColumn("part", part).select(F.col("part").alias("doc_id"), place.cast("int").alias("unit_index"), cl.classify_office(chars, F.lit(0)).alias("kind"), chars.alias("char_count"), F.col("lang").alias("language"), tk.text_tokens(F.col("text")).alias("tokens"))
-
+    return _in_parts(documents).withColumn("part", part).select(F.col("part").alias("doc_id"), "source", "number", place.cast("int").alias("unit_index"), cl.classify_office(chars, F.lit(0)).alias("kind"), chars.alias("char_count"), F.col("lang").alias("language"), tk.text_tokens(F.col("text")).alias("tokens"))
 
-def doc_report(documents: DataFrame) -> DataFrame:
-    """Units, runs, complexity, language, tokens and cost of every part of a source.
 
-    One exchange by part serves numbering, runs and sums: unit sums are carried through the runs.
-    """
+def _part_runs(documents: DataFrame) -> DataFrame:
+    """The runs within each part of a source, with the sums over their units."""
     units = documents_as_units(documents)
     ocr = (F.col("kind") == "image-only") | ((F.col("kind") == "unknown") & (F.col("char_count") < fixed.HYBRID_CHARS)) | ((F.col("kind") == "mixed") & (F.col("char_count") < 100))
     carry = {
         "n": F.count("*"), "chars": F.sum("char_count"), "tokens": F.sum("tokens"), "images": F.count_if(F.col("kind").isin("image-only", "mixed")), "ocr": F.count_if(ocr),
-        "lang": F.first("language"), "start": F.min("unit_index"),
+        "lang": F.first("language"), "start": F.min("unit_index"), "source": F.first("source"), "number": F.first("number"),
     }
-    runs = op.build_runs(units, op.run_key(F.col("kind"), F.col("language")), carry=carry)
-    known = F.when(F.col("lang") != "und", F.col("lang"))
-    by_lang = runs.groupBy("doc_id", known.alias("lang")).agg(F.sum("n").alias("n"), F.count("*").alias("runs"), F.min("start").alias("start"), *[F.sum(k).alias(k) for k in ("chars", "tokens", "images", "ocr")])
-    g = by_lang.groupBy("doc_id").agg(
+    return op.build_runs(units, op.run_key(F.col("kind"), F.col("language")), carry=carry)
+
+
+def _known_lang() -> Column:
+    return F.when(F.col("lang") != "und", F.col("lang"))
+
+
+def _report(by_lang: DataFrame, key: str) -> DataFrame:
+    """One row for each key from its sums by language; start is the place of a language's first unit."""
+    g = by_lang.groupBy(key).agg(
         F.sum("n").alias("unit_count"), F.sum("runs").alias("run_count"), F.sum("chars").alias("characters"), F.sum("tokens").alias("tokens"), F.sum("images").alias("images"), F.sum("ocr").alias("ocr"),
         F.coalesce(F.max_by("lang", F.when(F.col("lang").isNotNull(), F.struct("n", (-F.col("start")).alias("s")))), F.lit("und")).alias("dominant_language"),
     )
     points = 2.0 * F.col("unit_count") + F.col("characters") / 1000.0 + 5.0 * F.col("images") + F.when(F.col("ocr") > 0, 20.0).otherwise(0.0)
     score = F.least(F.lit(100), F.floor(points + 0.5)).cast("int")
     cost = F.col("tokens") / 1e6 * fixed.DEFAULT_PRICE["input"] + F.col("tokens") / 1e6 * fixed.DEFAULT_PRICE["output"]
-    return g.select(F.col("doc_id").alias("part"), "unit_count", "run_count", "characters", "tokens", score.alias("score"), tk.complexity_level(score).alias("level"), "dominant_language", F.round(cost, 6).alias("cost"))
+    return g.select(key, "unit_count", "run_count", "characters", "tokens", score.alias("score"), tk.complexity_level(score).alias("level"), "dominant_language", F.round(cost, 6).alias("cost"))
+
+
+def doc_report(documents: DataFrame) -> DataFrame:
+    """Units, runs, complexity, language, tokens and cost of every part of a source (of whole sources: source_report).
+
+    One exchange by part serves numbering, runs and sums: unit sums are carried through the runs.
+    """
+    by_lang = _part_runs(documents).groupBy("doc_id", _known_lang().alias("lang")).agg(F.sum("n").alias("n"), F.count("*").alias("runs"), F.min("start").alias("start"), *[F.sum(k).alias(k) for k in ("chars", "tokens", "images", "ocr")])
+    return _report(by_lang, "doc_id").withColumnRenamed("doc_id", "part")
+
+
+def source_report(documents: DataFrame) -> DataFrame:
+    """Units, runs, complexity, language, tokens and cost of every source, one row each.
+
+    Parts are only a first aggregation. Each keeps the sums by language and the keys of its first and last
+    run; the parts before it give its offset, and a run that goes on from the part before is counted there.
+    """
+    sums = ("n", "chars", "tokens", "images", "ocr")
+    by_lang = _part_runs(documents).groupBy("source", "number", _known_lang().alias("lang")).agg(
+        *[F.sum(k).alias(k) for k in sums], F.count("*").alias("runs"), F.min("start").alias("start"), F.min_by("run_key", "run_index").alias("first_key"), F.max_by("run_key", "run_index").alias("last_key"), F.max("run_index").alias("last_run"),
+    )
+    by_part = by_lang.groupBy("source", "number").agg(
+        F.collect_list(F.struct("lang", *sums, "runs", "start")).alias("langs"), F.sum("n").alias("units"), F.min_by("first_key", "start").alias("first_key"), F.max_by("last_key", "last_run").alias("last_key"),
+    )
+    # windows over one row for each part of a source
+    order = Window.partitionBy("source").orderBy("number")
+    offset = F.coalesce(F.sum("units").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    goes_on = F.coalesce((F.lag("last_key").over(order) == F.col("first_key")).cast("int"), F.lit(0))
+    placed = by_part.select("source", "langs", offset.alias("offset"), goes_on.alias("goes_on")).select("source", "offset", "goes_on", F.posexplode("langs").alias("i", "x"))
+    # a part's first run is counted off once, at whichever language stands first
+    runs = F.col("x.runs") - F.when(F.col("i") == 0, F.col("goes_on")).otherwise(0)
+    merged = placed.select("source", *[f"x.{k}" for k in ("lang", *sums)], runs.alias("runs"), (F.col("offset") + F.col("x.start")).alias("start"))
+    return _report(merged.groupBy("source", "lang").agg(*[F.sum(k).alias(k) for k in (*sums, "runs")], F.min("start").alias("start")), "source")

@@ -17,6 +17,8 @@ WS = fixed.WS
 
 _U = f"""(SELECT coalesce(source, 'none') || '#' || CAST(doc_id // {rp.PART} AS VARCHAR) AS part, doc_id, coalesce(length(regexp_replace(text, '{WS}', '', 'g')), 0) AS c, lang, coalesce(CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT), 0) AS tokens FROM documents)"""
 
+_S = f"""(SELECT coalesce(source, 'none') AS source, doc_id, coalesce(length(regexp_replace(text, '{WS}', '', 'g')), 0) AS c, lang, coalesce(CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT), 0) AS tokens FROM documents)"""
+
 
 @catalog.add("doc_report", f"""
     WITH u AS (SELECT *, CASE WHEN c >= 20 THEN 'text-only' ELSE 'empty' END AS kind, row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS i FROM {_U}),
@@ -30,6 +32,18 @@ def doc_report(t):
     return rp.doc_report(t.documents)
 
 
+@catalog.add("source_report", f"""
+    WITH u AS (SELECT *, CASE WHEN c >= 20 THEN 'text-only' ELSE 'empty' END AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM {_S}),
+    k AS (SELECT *, kind || '|' || coalesce(lang, '') AS k FROM u), p AS (SELECT *, lag(k) OVER (PARTITION BY source ORDER BY i) AS pk FROM k),
+    l AS (SELECT source, arg_max(lang, (n, -first)) FILTER (lang IS NOT NULL) AS lang FROM (SELECT source, nullif(lang, 'und') AS lang, count(*) AS n, min(i) AS first FROM u GROUP BY 1, 2) GROUP BY source),
+    g AS (SELECT source, count(*) AS unit_count, count(*) FILTER (pk IS NULL OR k <> pk) AS run_count, sum(c) AS characters, sum(tokens) AS tokens FROM p GROUP BY source),
+    s AS (SELECT *, CAST(least(100, floor(2.0 * unit_count + characters / 1000.0::DOUBLE + 0.5)) AS INT) AS score FROM g)
+    SELECT s.source, unit_count, run_count, characters, tokens, score, CASE WHEN score < 20 THEN 'low' WHEN score < 50 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very_high' END AS level, coalesce(l.lang, 'und') AS dominant_language,
+        round(tokens / 1e6::DOUBLE * 1.0 + tokens / 1e6::DOUBLE * 4.0, 6) AS cost FROM s JOIN l ON s.source = l.source""")
+def source_report(t):
+    return rp.source_report(t.documents)
+
+
 @catalog.add("estimate_doc_cost", "SELECT doc_id, count(*) AS pages, sum(CAST(ceil(char_count / 3.5::DOUBLE) AS BIGINT)) AS tokens, round(sum(CAST(ceil(char_count / 3.5::DOUBLE) AS BIGINT)) / 1e6::DOUBLE * 5.0, 9) AS cost FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, coalesce(char_count, 0) AS char_count FROM pdf_pages) GROUP BY doc_id")
 def estimate_doc_cost(t):
     p = t.pdf_pages.dropDuplicates(["doc_id", "page_index"])
