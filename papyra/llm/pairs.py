@@ -42,7 +42,7 @@ REFUSALS = re.compile(
 )
 #: Every pattern above holds one of these, which are quicker to look for.
 _CORES = (
-    "not ", "n't", "n’t", "unable", "declin", "refus", "denied", "allow", "permitted", "against", "as an ai", "rather", "decided", "leid", "nicht", "pas", "désol", "impossible", "siento", "no puedo", "no me",
+    "not ", "cannot", "can not", "cant", "is not", "n't", "n’t", "unable", "declin", "refus", "denied", "allow", "permitted", "against", "as an ai", "rather", "decided", "leid", "nicht", "pas", "désol", "impossible", "siento", "no puedo", "no me",
     "no estoy", "desculp", "não", "lamento", "dispiace", "non ", "spijt", "niet", "przykro", "przepraszam", "nie ", "извин", "сожал", "не ", "申し", "できません", "断り", "抱歉", "对不起", "无法", "不能", "不会", "恕", "죄송", "수 없",
 )
 #: A sentence that only reports what somebody else says.
@@ -74,11 +74,12 @@ def _plain(s: str) -> str:
 def refused(output: str, prompt: str | None) -> bool:
     """Whether the first sentences decline the task in the model's own voice, not in words of the page."""
     body = _MARKUP.sub("", output).strip()
-    at = 0
-    for _ in range(2):
+    at = seen = 0
+    while seen < 2:
         m = _FIRST.search(body, at)
         s = body[at : m.start() if m else len(body)].strip()
         low = s.lower()
+        seen += bool(s)
         if s and any(k in low for k in _CORES) and REFUSALS.search(s) and not REPORTED.search(s) and not (prompt and s[:60] in prompt):
             return True
         if m is None:
