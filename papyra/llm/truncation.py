@@ -8,20 +8,26 @@ mark, is joined with trie and frames, with length evidence for what both leave o
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.session import cut_lineage
 
 #: So many sentences must share a frame before it can say what they end on.
 FRAME = 15
-#: A last line is whole where so many answers end on it.
+#: A last line is whole where so many answers (copies count once) end on it and make up at least this share of those that begin with it.
 COMMON_LINE = 4
+LINE_SHARE = 0.5
+#: Lines of no more words than a frame's start (labels such as "no") begin unrelated sentences too: their share says nothing.
+FRAME_WORDS = 2
+#: Longest last line that is counted; one character more is kept of longer ones.
+LONGEST_LINE = 80
 LONGEST_WORD = 40
 
 INVISIBLE = "​‌‍⁠﻿­"
@@ -126,16 +132,16 @@ def tail(output: str | None, prompt: str | None) -> tuple[str, str, str, str, st
     a, z, n = keys_of(piece)
     found = _WORDS.findall(plain.lower())
     token = "" if _DENSE.search(plain[-1:]) or not plain[-1:].isalpha() or not found else found[-1]
-    return "open", "", token, "•" if item else a, z, n, _DIGITS.sub("0", plain.lower())[:80]
+    return "open", "", token, "•" if item else a, z, n, _DIGITS.sub("0", plain.lower())[:LONGEST_LINE]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """kind, a, b, n, least: words, frames, and last lines, summed over a batch before they leave Python."""
+    """kind, a, b, id, n, least: words and frames, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
     for batch in batches:
         words: Counter[str] = Counter()
         frames: dict[tuple[str, str], list[int]] = {}
-        lines: dict[str, int] = defaultdict(int)
-        for prompt, output in zip(batch["prompt"], batch["output"]):
+        lines: list[tuple[str, str, str]] = []
+        for id_, prompt, output in zip(batch["id"], batch["prompt"], batch["output"]):
             if prompt:
                 words.update(_WORDS.findall(prompt.lower()))
             if not output:
@@ -156,17 +162,33 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 f[1] = min(f[1], n)
             last = _DIGITS.sub("0", (output.rstrip().rsplit("\n", 1)[-1]).lower())
             last = (_ITEM if _ITEM.match(last) else _HEAD).sub("", last).strip()
-            if 0 < len(last) <= 80 and last[0] not in "{|`":
-                lines[last] += 1
-        rows = [("w", w, "", n, 0) for w, n in words.items() if len(w) <= LONGEST_WORD]
-        rows += [("f", a[:80], z[:80], n, m) for (a, z), (n, m) in frames.items()]
-        rows += [("l", x, "", n, 0) for x, n in lines.items()]
-        yield pd.DataFrame(rows, columns=["kind", "a", "b", "n", "least"])
+            if last and last[0] not in "{|`":
+                lines.append((last[: LONGEST_LINE + 1], hashlib.blake2b(f"{prompt}\0{output.rstrip()}".encode("utf-8", "replace"), digest_size=12).hexdigest(), id_))
+        rows = [("w", w, "", "", n, 0) for w, n in words.items() if len(w) <= LONGEST_WORD]
+        rows += [("f", a[:80], z[:80], "", n, m) for (a, z), (n, m) in frames.items()]
+        rows += [("l", x, digest, id_, 1, 0) for x, digest, id_ in lines]
+        yield pd.DataFrame(rows, columns=["kind", "a", "b", "id", "n", "least"])
 
 
 def corpus_counts(entries: DataFrame) -> DataFrame:
-    """Words (kind w), frames (f: start, end, count, least words) and last lines (l) of all entries."""
-    return entries.select("prompt", "output").mapInPandas(_counts, "kind string, a string, b string, n long, least int").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    """Words (kind w), frames (f: start, end, count, least words) and last lines (l: line, digest of prompt and answer, id) of all entries."""
+    return entries.select("id", "prompt", "output").mapInPandas(_counts, "kind string, a string, b string, id string, n long, least int").groupBy("kind", "a", "b", "id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+def common_lines(lines: DataFrame, lengthy: DataFrame) -> DataFrame:
+    """line: last lines that are whole, as most of the answers that begin with them end there.
+
+    lines: line, digest of prompt and answer, id. Copies of an answer count once (the same label given to
+    different prompts doesn't), and those with length evidence (lengthy: id) only among the ones that begin with a line.
+    """
+    ends = lines.join(lengthy, "id", "left_anti").groupBy("line").agg(F.countDistinct("digest").alias("n_line")).where((F.col("n_line") >= COMMON_LINE) & (F.length("line") <= LONGEST_LINE))
+    ends = cut_lineage(ends)
+    w = F.split("line", " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), " "))
+    starts = F.array_distinct(F.concat(starts, F.transform(starts, lambda x: F.regexp_replace(x, "[,;:]+$", ""))))
+    answers = lines.select("line", "digest").distinct().groupBy("line").agg(F.count("*").alias("n"))
+    begun = answers.select(F.explode(starts).alias("line"), "n").join(ends.select("line"), "line", "left_semi").groupBy("line").agg(F.sum("n").alias("n_begun"))
+    return ends.join(begun, "line").where((F.size(w) <= FRAME_WORDS) | (F.col("n_line") >= LINE_SHARE * F.col("n_begun"))).select("line")
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -177,7 +199,7 @@ def trie(words: DataFrame) -> DataFrame:
 
 def entries_of(journal: DataFrame) -> DataFrame:
     """The journal's entries, once each (a redelivered entry has the same content), with what the operators need."""
-    return journal.select("id", "experiment", F.lower(F.trim("provider")).alias("provider"), "model", "prompt", "output", F.lower("finish_reason").alias("finish_reason"), F.col("tokens.output").alias("n_tokens"), "error").where("id is not null")
+    return journal.select("id", "experiment", F.lower(F.trim("provider")).alias("provider"), "model", "prompt", "output", F.lower("finish_reason").alias("finish_reason"), F.col("tokens.output").alias("n_tokens"), "error").where("id is not null").dropDuplicates(["id"])
 
 
 def length_spikes(entries: DataFrame) -> DataFrame:
@@ -200,9 +222,12 @@ def look(batch: pd.DataFrame, keep_whole: bool = True) -> pd.DataFrame:
     return pd.concat([kept, pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line"])], axis=1)
 
 
+def _limited() -> Column:
+    return F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False))
+
+
 def to_look(entries: DataFrame) -> DataFrame:
-    limited = F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False)).alias("limited")
-    return entries.select("id", "experiment", "provider", "model", "output", "prompt", limited, "n_tokens", "error")
+    return entries.select("id", "experiment", "provider", "model", "output", "prompt", _limited().alias("limited"), "n_tokens", "error")
 
 
 def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole: bool = True, looked: DataFrame | None = None) -> DataFrame:
@@ -222,8 +247,12 @@ def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole:
     frames = counts.where("kind = 'f'")
     starts = frames.groupBy("a").agg(F.sum("n").alias("n_start"), F.count("*").alias("ends"), F.min("least").alias("least_start"))
     ends = frames.groupBy(F.col("b").alias("z")).agg(F.sum("n").alias("n_end"))
-    lines = counts.where("kind = 'l'").select(F.col("a").alias("line"), F.col("n").alias("n_line"))
-    spikes = length_spikes(entries).withColumn("spike", F.lit(True))
+    spikes = cut_lineage(length_spikes(entries)).withColumn("spike", F.lit(True))
+    if extra is not None:
+        extra = cut_lineage(extra.select("id").distinct())
+    lengthy = entries.where(_limited()).select("id").unionByName(entries.join(spikes, ["model", "n_tokens"], "left_semi").select("id"))
+    lengthy = lengthy if extra is None else lengthy.unionByName(extra)
+    lines = common_lines(counts.where("kind = 'l'").select(F.col("a").alias("line"), F.col("b").alias("digest"), "id"), lengthy).withColumn("common", F.lit(True))
     opened = looked.where("status = 'open'")
     opened = (
         opened.join(words.select(F.col("a").alias("token"), F.col("n").alias("n_word")), "token", "left")
@@ -235,23 +264,24 @@ def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole:
         .join(spikes, ["model", "n_tokens"], "left")
     )
     if extra is not None:
-        opened = opened.join(extra.select("id").distinct().withColumn("continued", F.lit(True)), "id", "left")
+        opened = opened.join(extra.withColumn("continued", F.lit(True)), "id", "left")
     else:
         opened = opened.withColumn("continued", F.lit(False))
-    n = {k: F.coalesce(F.col(k), F.lit(0)) for k in ("n_word", "below", "n_below", "n_frame", "n_start", "ends", "n_end", "n_line", "least_start")}
+    n = {k: F.coalesce(F.col(k), F.lit(0)) for k in ("n_word", "below", "n_below", "n_frame", "n_start", "ends", "n_end", "least_start")}
+    common = F.coalesce("common", F.lit(False))
     evidence = F.col("limited") | F.coalesce("spike", F.lit(False)) | F.coalesce("continued", F.lit(False))
     prefix = (F.col("token") != "") & (n["below"] > 0) & ((n["n_word"] == 0) | (n["n_below"] > 200 * n["n_word"]) & (n["n_frame"] == 0))
     # items of lists are no frame: what ends any sentence may end an item
     closed = (F.col("a") != "•") & (n["n_start"] >= FRAME) & (n["ends"] <= 0.6 * n["n_start"])
     why = (
-        F.when((n["n_line"] >= COMMON_LINE) & ~prefix & ((n["n_frame"] > 0) | ~closed), F.lit(None))
+        F.when(common & ~prefix & ((n["n_frame"] > 0) | ~closed), F.lit(None))
         .when(prefix, F.lit("word"))
         .when(closed & (n["n_frame"] == 0), F.lit("sentence"))
         .when(closed & (F.col("n_words") < n["least_start"]), F.lit("sentence"))
         .when(n["n_frame"] > 0, F.when(F.coalesce("continued", F.lit(False)) | (F.col("limited") & F.col("line").rlike("0$") & (F.col("a") != "•") & (F.col("n_words") > 3)), F.lit("sentence")))
         .when((n["n_end"] == 0) & ((F.col("n_words") > 3) | (n["n_word"] >= FRAME)), F.lit("sentence"))
         .when((n["n_end"] < 0.01 * n["n_word"]), F.lit("sentence"))
-        .when(evidence & (n["n_line"] < COMMON_LINE) & (F.col("a") != "•"), F.lit("length"))
+        .when(evidence & ~common & (F.col("a") != "•"), F.lit("length"))
     )
     out = ["id", "experiment", "provider", "model"]
     judged = opened.select(*out, why.isNotNull().alias("truncated"), why.alias("why"))
