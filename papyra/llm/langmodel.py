@@ -183,12 +183,12 @@ class LanguageModel:
         return sorted(((k, n / total, round(sure[k] / n, 4)) for k, n in size.items() if n), key=lambda x: (-x[1], x[0]))
 
 
-def _build(word_rows: dict[tuple[str, str], int]) -> LanguageModel:
+def _build(word_rows: dict[tuple[str, str], int], backoff: bool = True) -> LanguageModel:
     by_word: dict[str, dict[str, int]] = defaultdict(dict)
     by_gram: list[dict[str, dict[str, int]]] = [defaultdict(lambda: defaultdict(int)) for _ in range(LONGEST)]
     for (lang, w), n in word_rows.items():
         by_word[w][lang] = n
-        for k in range(1, LONGEST + 1):
+        for k in range(1, LONGEST + 1 if backoff else 1):
             for g in grams(w, k):
                 by_gram[k - 1][g][lang] += n
     kept = [{g: dict(c) for g, c in t.items() if sum(c.values()) > 2} for t in by_gram]
@@ -205,16 +205,17 @@ def _top_words(tokens: DataFrame) -> dict[tuple[str, str], int]:
     return {(r.lang, r.w): r.n for r in rows.toLocalIterator()}
 
 
-def fit(df: DataFrame, text: str, label: str, keys: list[str], rows_per_language: int = ROWS_PER_LANGUAGE, refine: bool = True) -> LanguageModel:
+def fit(df: DataFrame, text: str, label: str, keys: list[str], rows_per_language: int = ROWS_PER_LANGUAGE, refine: bool = True, backoff: bool = True) -> LanguageModel:
     """Fit on a bounded sample of df's labelled rows. Rows without text or language are left out.
 
     With no labelled row at all the model is empty and gives every language the same score.
     refine=False leaves out the second pass: enough to tell the language of whole documents.
+    backoff=False keeps known words only.
     """
     rows = df.select(*keys, F.col(text).alias("t"), normal_column(F.col(label)).alias("lang")).where("lang is not null and length(t) > 0")
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
-        return _build({})
+        return _build({}, backoff)
     share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
     draw = F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = rows.where(draw < F.try_element_at(share, F.col("lang"))).select("t", "lang")
@@ -227,7 +228,7 @@ def fit(df: DataFrame, text: str, label: str, keys: list[str], rows_per_language
                     c[lang, w] += min(n, ROW_CAP)
             yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["lang", "w", "n"])
 
-    first = _build(_top_words(sample.mapInPandas(count, "lang string, w string, n long")))
+    first = _build(_top_words(sample.mapInPandas(count, "lang string, w string, n long")), backoff)
     if not refine:
         return first
     shared = df.sparkSession.sparkContext.broadcast(first)
