@@ -461,8 +461,10 @@ def assign(p: Placed, space: Space, least: float, each: Callable[[int, np.ndarra
     cos = np.zeros((p.sentences, k), dtype=np.float32)
     telling = space.weight[p.term] > NEGLIGIBLE
     term, sentence = p.term[telling], p.sentence[telling]
+    # a sentence of little weight has no subject, whatever its direction
+    heavy = np.bincount(sentence, weights=space.weight[term], minlength=p.sentences) >= max(least, 1e-6)
     for j in np.unique(p.lang):
-        mine = np.flatnonzero(p.lang == j)
+        mine = np.flatnonzero((p.lang == j) & heavy)
         number = np.full(p.sentences, -1)
         number[mine] = np.arange(len(mine))
         own = number[sentence] >= 0
@@ -470,9 +472,7 @@ def assign(p: Placed, space: Space, least: float, each: Callable[[int, np.ndarra
         for a, used, x in _gathered(rows, terms, space.weight[terms], len(mine)):
             v = _unit(x @ space.vectors[used])
             at = mine[a : a + len(x)]
-            c = v @ space.centroids[:, j].T.astype(np.float32)
-            c[x.sum(axis=1) < max(least, 1e-6)] = 0
-            cos[at] = c
+            cos[at] = v @ space.centroids[:, j].T.astype(np.float32)
             if each is not None:
                 each(int(j), at, v)
     best = cos.argmax(axis=1)
