@@ -9,8 +9,9 @@ read as another, and letters replaced by '?' or U+FFFD.
 
 from __future__ import annotations
 
+import codecs
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +39,13 @@ _SINGLE = {
     "cp437": ("cp1252",),
 }
 SINGLE = tuple((t, w) for t, wrong in _SINGLE.items() for w in wrong)
-LEXICON = 60000
+#: The lexicon that is broadcast holds at most so many tokens, the most frequent ones (about 20 MB as a table of words).
+LEXICON = 200_000
 LEAST = 3
+#: Longer tokens are runs of a script without spaces; they are looked at, but vouch for nothing.
+LONGEST_TOKEN = 60
+#: What is remembered of tokens and runs seen before.
+MEMORY = 200_000
 #: How much more usual than the token as it stands its repair must be.
 RATIO = 20
 
@@ -77,9 +83,25 @@ def _automaton(codec: str) -> re.Pattern[str]:
     return re.compile(f"(?:{cls(0xC2, 0xDF)}{t}|{cls(0xE0, 0xEF)}{t}{t}|{cls(0xF0, 0xF4)}{t}{t}{t})+")
 
 
+@lru_cache(None)
+def _leads(codec: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that codec shows for bytes that begin and that continue a UTF-8 sequence: a span needs one of each."""
+    by = _byte_of(codec)
+    return frozenset(c for c, b in by.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in by.items() if b <= 0xBF)
+
+
+def _automata_for(text: str) -> list[str]:
+    """The codecs whose automaton can find anything in text."""
+    here = set(text)
+    return [c for c in READ_AS for lead, follow in (_leads(c),) if not lead.isdisjoint(here) and not follow.isdisjoint(here)]
+
+
+codecs.register_error("papyra-ff", lambda e: (b"\xff" * (e.end - e.start), e.end))
+
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _HIGH_MIXED = re.compile(r"[^\x00-\x7f](?:[!-~]?[^\x00-\x7f])*[@-~]?")
+_TOKEN = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 _QUESTION = re.compile(r"[^\s?]*\?[^\s]*")
 _MANY = re.compile(r"\?{4,}|(?:\?{2,}[^\w\s]?){2,}")
 
@@ -92,13 +114,15 @@ class Judge:
         self.names = frozenset(names)
         self.chars = chars
         for t, n in tokens.items():  # a garbled token must not vouch for another
-            for codec in READ_AS:
+            for codec in _automata_for(t):
                 fixed = _automaton(codec).sub(lambda m: _decode(m.group(), codec) or m.group(), t)  # noqa: B023
                 if fixed != t and tokens.get(fixed.lower(), 0) >= n and fixed.lower() != t:
                     self.tokens.pop(t, None)
         self.turns: dict[str, list[tuple[tuple[str, str], str]]] = {}
+        self.doubles: dict[tuple[str, bool, str], list[tuple[str, float, str]]] = {}
         self.total = max(1, sum(chars.values()))
         self.usual = {c for c, n in chars.items() if n >= 3 and n * 2e5 >= self.total}
+        self.fine = self.usual | _SIGNS
         self.masked = defaultdict(int)
         for t, n in tokens.items():
             if n >= LEAST:
@@ -112,18 +136,12 @@ class Judge:
     def share(self, text: str) -> float:
         """Share of the characters beyond ASCII that are usual in the corpus."""
         high = [c for c in text if c > "\x7f"]
-        return sum(c in self.usual or c in _SIGNS for c in high) / len(high) if high else 1.0
+        return sum(map(self.fine.__contains__, high)) / len(high) if high else 1.0
 
 
 def tokens_of(text: str) -> list[str]:
     """White-space tokens without ASCII signs at their edges that hold a character beyond ASCII."""
-    out = []
-    for t in text.lower().split():
-        if not t.isascii():
-            t = t.strip(_ASCII_EDGE)
-            if 0 < len(t) <= 30:
-                out.append(t)
-    return out
+    return [x for t in _TOKEN.findall(text.lower()) if len(x := t.strip(_ASCII_EDGE)) <= LONGEST_TOKEN]
 
 
 def _decode(span: str, codec: str) -> str | None:
@@ -142,7 +160,7 @@ def _plausible(s: str, judge: Judge) -> bool:
 def _spans_single(text: str, judge: Judge) -> tuple[float, str, str] | None:
     """UTF-8 read as a single-byte encoding: the codec whose automaton takes most characters."""
     best: tuple[int, str, str] | None = None
-    for codec in READ_AS:
+    for codec in _automata_for(text):
         used = 0
 
         def put(m: re.Match[str], codec: str = codec) -> str:
@@ -172,25 +190,25 @@ def _word_gain(text: str, m: re.Match[str], s: str, judge: Judge) -> int:
     new = (text[a : m.start()] + s + text[m.end() : b]).lower().strip(_ASCII_EDGE)
     gain = judge.count(new) - 3 * judge.count(old)
     if judge.count(new) == 0 and judge.count(old) == 0:  # the rest of the token may be garbled too
-        gain = 1 if all(c in judge.usual or c in _SIGNS for c in s if c > "\x7f") and not all(c in judge.usual for c in m.group()) else 0
+        gain = 1 if all(c in judge.fine for c in s if c > "\x7f") and not all(c in judge.usual for c in m.group()) else 0
     return gain
 
 
 def _spans_double(text: str, judge: Judge) -> tuple[str, str] | None:
     """UTF-8 read as a double-byte encoding (Han or Hangul in the place of other text)."""
+    # a run whose characters are usual can't gain what a repair has to
+    odd = {run: x for run in set(_HIGH.findall(text)) if not judge.fine.issuperset(run) and (x := judge.share(run.replace("�", ""))) <= 0.8}
     best: tuple[int, str, str] | None = None
-    for codec in ("gb18030", "cp932", "cp949", "big5"):
+    for codec in ("gb18030", "cp932", "cp949", "big5") if odd else ():
         used = 0
 
         def put(m: re.Match[str], codec: str = codec) -> str:
             nonlocal used
-            raw, at = b"", []
-            for c in m.group():
-                try:
-                    x = c.encode(codec)
-                except UnicodeEncodeError:
-                    x = b"\xff"
-                raw += x
+            if m.group() not in odd:
+                return m.group()
+            raw = m.group().encode(codec, "papyra-ff")
+            if sum(map(len, _UTF8.findall(raw))) < 0.6 * len(raw.replace(b"\xff", b"")):
+                return m.group()
             out, last, taken = [], 0, 0
             for u in _UTF8.finditer(raw):
                 try:
@@ -203,7 +221,7 @@ def _spans_double(text: str, judge: Judge) -> tuple[str, str] | None:
             if not taken or taken < 0.6 * len(raw.replace(b"\xff", b"")):
                 return m.group()
             fixed = "".join(out) + raw[last:].decode(codec, "replace")
-            if judge.share(fixed.replace("�", "")) < judge.share(m.group().replace("�", "")) + 0.2:
+            if judge.share(fixed.replace("�", "")) < odd[m.group()] + 0.2:
                 return m.group()
             used += taken
             return fixed
@@ -214,32 +232,48 @@ def _spans_double(text: str, judge: Judge) -> tuple[str, str] | None:
     return (best[2], f"utf-8 as {best[1]}") if best else None
 
 
+def _as_double(span: str, wrong: str, pure: bool, judge: Judge) -> list[tuple[str, float, str]]:
+    """(true encoding, bytes it explains, text) for every double-byte encoding that a span read as wrong may be of."""
+    known = judge.doubles.get((wrong, pure, span))
+    if known is not None:
+        return known
+    by, out = _byte_of(wrong), []
+    if sum(c > "\x7f" for c in span) >= 3 and all(c in by or c <= "\x7f" for c in span):
+        raw = bytes(by.get(c, ord(c) & 0x7F) for c in span)
+        for true in ("euc_jp",) if pure else ("gb18030", "shift_jis", "cp949", "big5"):
+            s = raw.decode(true, "ignore")
+            if not s or len(s.encode(true, "ignore")) < 0.8 * len(raw):
+                continue
+            good = sum(map(judge.fine.__contains__, s)) / len(s)
+            named = s.lower() in judge.names
+            if (good >= 0.9 or named) and sum(c >= "　" for c in s) >= 0.6 * len(s):
+                out.append((true, len(raw) * (good + named), s))
+    if len(judge.doubles) < MEMORY and len(span) <= LONGEST_TOKEN:
+        judge.doubles[wrong, pure, span] = out
+    return out
+
+
 def _double_as_single(text: str, judge: Judge) -> tuple[float, str, str] | None:
     """A double-byte encoding read as a single-byte one: maximal spans of well-formed pairs."""
+    spans = [(pure, [x for x in pattern.findall(text) if len(x) >= 3]) for pure, pattern in ((True, _HIGH), (False, _HIGH_MIXED))]
+    if not spans[1][1]:
+        return None
     best: tuple[float, str, str] | None = None
     for wrong in ("cp1252", "cp1251", "mac_roman", "cp437"):
-        by = _byte_of(wrong)
+        if _byte_of(wrong).keys().isdisjoint(text):
+            continue
+        used: dict[str, float] = defaultdict(float)
+        for pure, found in spans:
+            for x in found:
+                for true, n, _ in _as_double(x, wrong, pure, judge):
+                    used[true] += n
         for true in DOUBLE:
-            used = 0.0
-
-            def put(m: re.Match[str], true: str = true, by: dict[str, int] = by) -> str:
-                nonlocal used
-                span = m.group()
-                if sum(c > "\x7f" for c in span) < 3 or not all(c in by or c <= "\x7f" for c in span):
-                    return span
-                raw = bytes(by.get(c, ord(c) & 0x7F) for c in span)
-                s = raw.decode(true, "ignore")
-                if len(s.encode(true, "ignore")) < 0.8 * len(raw) or not s:
-                    return span
-                good = sum(c in judge.usual or c in _SIGNS for c in s) / len(s)
-                if (good < 0.9 and s.lower() not in judge.names) or sum(c >= "　" for c in s) < 0.6 * len(s):
-                    return span
-                used += len(raw) * (good + (s.lower() in judge.names))
-                return s
-
-            fixed = (_HIGH_MIXED if true in ("shift_jis", "gb18030", "big5", "cp949") else _HIGH).sub(put, text)
-            if used and (best is None or used > best[0]):
-                best = (used, f"{true} as {wrong}", fixed)
+            if used.get(true) and (best is None or used[true] > best[0]):
+                turn = {}
+                for x in spans[0 if true == "euc_jp" else 1][1]:
+                    turn.update({x: s for t, _, s in _as_double(x, wrong, true == "euc_jp", judge) if t == true})
+                fixed = (_HIGH if true == "euc_jp" else _HIGH_MIXED).sub(lambda m: turn.get(m.group(), m.group()), text)  # noqa: B023
+                best = (used[true], f"{true} as {wrong}", fixed)
     return (best[0], best[2], best[1]) if best else None
 
 
@@ -258,7 +292,7 @@ def _turns(token: str, judge: Judge) -> list[tuple[tuple[str, str], str]]:
                 continue
             if s != token and judge.count(s.lower()) > RATIO * n + LEAST:
                 out.append(((true, wrong), s))
-    if len(judge.turns) < 200_000:
+    if len(judge.turns) < MEMORY:
         judge.turns[token] = out
     return out
 
@@ -269,12 +303,10 @@ def _single_as_single(text: str, judge: Judge) -> tuple[str, str] | None:
     A token of one character proves nothing by itself: it must stand there twice.
     """
     found: dict[tuple[str, str], dict[str, str]] = defaultdict(dict)
-    counts: dict[str, int] = defaultdict(int)
-    for t in text.split():
-        if not t.isascii() and 0 < len(t := t.strip(_ASCII_EDGE)) <= 30:
-            counts[t] += 1
-            for pair, s in _turns(t, judge):
-                found[pair][t] = s
+    counts = Counter([x for t in _TOKEN.findall(text) if len(x := t.strip(_ASCII_EDGE)) <= LONGEST_TOKEN])
+    for t in counts:
+        for pair, s in _turns(t, judge):
+            found[pair][t] = s
     best: tuple[int, tuple[str, str]] | None = None
     for pair, turned in found.items():
         if all(len(t) == 1 and counts[t] < 2 for t in turned):
@@ -292,7 +324,7 @@ def _single_as_single(text: str, judge: Judge) -> tuple[str, str] | None:
                 s = bytes(by.get(c, ord(c) & 0x7F) for c in t).decode(true)
             except UnicodeDecodeError:
                 continue
-            if all(c in judge.usual or c in _SIGNS for c in s if c > "\x7f"):
+            if all(c in judge.fine for c in s if c > "\x7f"):
                 turned[t] = s
     fixed = re.sub(r"\S+", lambda m: m.group().replace(t, turned[t]) if (t := m.group().strip(_ASCII_EDGE)) in turned else m.group(), text)
     return fixed, f"{best[1][0]} as {best[1][1]}"

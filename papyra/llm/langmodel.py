@@ -27,6 +27,8 @@ TYPES = 12000
 LONGEST = 5
 #: A row counts a word so many times at most, so that one long text with a wrong label teaches nothing.
 ROW_CAP = 2
+#: So many unseen words are remembered with their scores.
+MEMORY = 100_000
 
 #: Letters in runs; a run of one script among Han, Kana and Hangul counts as one word.
 WORD = re.compile(r"[぀-ヿー]+|[㐀-鿿豈-﫿々]+|[가-힯ᄀ-ᇿ]+|(?:(?![぀-ヿ㐀-鿿豈-﫿가-힯])[^\W\d_])+")
@@ -67,14 +69,6 @@ class LanguageModel:
     def __init__(self, word_counts: dict[str, dict[str, int]], gram_counts: list[dict[str, dict[str, int]]]):
         self.words = self._table(word_counts, 0.3)
         self.grams = [self._table(c, 0.5) for c in gram_counts]
-        total = defaultdict(int)
-        for w, c in word_counts.items():
-            total[w] = sum(c.values())
-        self.count = dict(total)
-        chars: dict[str, int] = defaultdict(int)
-        for g, c in gram_counts[0].items():
-            chars[g] += sum(c.values())
-        self.chars = dict(chars)
 
     @staticmethod
     def _table(counts: dict[str, dict[str, int]], smooth: float) -> dict[str, np.ndarray]:
@@ -94,29 +88,41 @@ class LanguageModel:
             out[key] = v.astype(np.float32)
         return out
 
-    def known(self, word: str) -> int:
-        return self.count.get(word, 0)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_row", "_matrix", "_used")}
 
-    def score_words(self, tokens: list[str]) -> np.ndarray:
-        total = np.zeros(len(CODES))
-        for w in tokens:
-            v = self.words.get(w)
-            total += v if v is not None else self._backoff(w)
-        return total
+    def _remember(self) -> None:
+        """Rows of known words in one matrix; scores of unseen words are added to it, and forgotten from time to time."""
+        if not hasattr(self, "_row") or self._used > len(self.words) + MEMORY:
+            self._row = {w: i for i, w in enumerate(self.words)}
+            self._used = len(self.words)
+            self._matrix = np.zeros((self._used + 1024, len(CODES)), dtype=np.float32)
+            if self.words:
+                self._matrix[: self._used] = list(self.words.values())
+
+    def _unseen(self, word: str) -> int:
+        if self._used == len(self._matrix):
+            self._matrix = np.concatenate([self._matrix, np.zeros_like(self._matrix)])
+        self._matrix[self._used] = self._backoff(word)
+        if len(word) <= 40:
+            self._row[word] = self._used
+        self._used += 1
+        return self._used - 1
+
+    def vectors(self, tokens: list[str]) -> np.ndarray:
+        """A row of scores for each word: by its log frequencies, or by backoff where it is unseen."""
+        self._remember()
+        at = list(map(self._row.get, tokens))
+        if None in at:
+            for k, i in enumerate(at):
+                if i is None:
+                    at[k] = self._row.get(tokens[k]) or self._unseen(tokens[k])
+        return self._matrix[at]
 
     def totals(self, text: str) -> np.ndarray:
-        """Scores of the whole text, known words by one look-up each."""
-        if not hasattr(self, "_row"):
-            self._row = {w: i for i, w in enumerate(self.words)}
-            self._matrix = np.array(list(self.words.values()), dtype=np.float32).reshape(-1, len(CODES))
-        known, rest = [], np.zeros(len(CODES))
-        for w in words(text):
-            i = self._row.get(w)
-            if i is None:
-                rest += self._backoff(w)
-            else:
-                known.append(i)
-        return self._matrix[known].sum(axis=0, dtype=np.float64) + rest if known else rest
+        """Scores of the whole text."""
+        found = words(text)
+        return self.vectors(found).sum(axis=0, dtype=np.float64) if found else np.zeros(len(CODES))
 
     def _backoff(self, word: str) -> np.ndarray:
         """An unseen word: each position by the longest known n-gram that begins there, averaged by length."""
@@ -139,7 +145,12 @@ class LanguageModel:
         parts = [(a, b, t) for a, b in segments(text) if (t := words(text[a:b]))]
         if not parts:
             return []
-        s = np.array([self.score_words(t) for _, _, t in parts])
+        sizes = np.array([len(t) for _, _, t in parts])
+        s = np.add.reduceat(self.vectors([w for _, _, t in parts for w in t]), np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+        first = s.argmax(axis=1)
+        if (first == first[0]).all():  # no path is better than the one that is best everywhere
+            k = int(first[0])
+            return [(0, len(text), CODES[k], self._confidence(s.sum(axis=0), int(sizes.sum()), k))]
         best, back = s[0].copy(), []
         for row in s[1:]:
             jump = best.max() - self.SWITCH
@@ -171,11 +182,11 @@ class LanguageModel:
         z = np.exp(z - z.max())
         return round(float(z[k] / z.sum()), 4)
 
-    def shares(self, text: str) -> list[tuple[str, float, float]]:
-        """(language, share of the non-white-space characters, confidence), largest first."""
+    def shares(self, text: str, spans: list[tuple[int, int, str, float]] | None = None) -> list[tuple[str, float, float]]:
+        """(language, share of the non-white-space characters, confidence), largest first. spans: the text's, where at hand."""
         size: dict[str, int] = defaultdict(int)
         sure: dict[str, float] = defaultdict(float)
-        for a, b, lang, conf in self.spans(text):
+        for a, b, lang, conf in self.spans(text) if spans is None else spans:
             n = len("".join(text[a:b].split()))
             size[lang] += n
             sure[lang] += n * conf
@@ -201,7 +212,7 @@ def _top_words(tokens: DataFrame) -> dict[tuple[str, str], int]:
 
     counts = tokens.groupBy("lang", "w").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
-    rows = counts.where(F.length("w") <= 40).withColumn("r", rank).where(F.col("r") <= TYPES).select("lang", "w", "n")
+    rows = counts.withColumn("r", rank).where(F.col("r") <= TYPES).select("lang", "w", "n")
     return {(r.lang, r.w): r.n for r in rows.toLocalIterator()}
 
 

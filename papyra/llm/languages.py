@@ -39,12 +39,13 @@ def assign_languages(df: DataFrame, text: str, model: langmodel.LanguageModel, j
                     continue
                 if j.value is not None and not t.isascii():
                     t = encoding.repair(t, j.value)[2]
-                shares = m.value.shares(t)
+                spans = m.value.spans(t)
+                shares = m.value.shares(t, spans)
                 rows.append((
                     shares[0][0] if shares else None,
                     shares[0][2] if shares else None,
                     [{"lang": a, "share": s, "confidence": c} for a, s, c in shares],
-                    [{"start": a, "end": z, "lang": k, "confidence": c} for a, z, k, c in m.value.spans(t)],
+                    [{"start": a, "end": z, "lang": k, "confidence": c} for a, z, k, c in spans],
                 ))
             yield pd.DataFrame(rows, columns=["lang", "confidence", "langs", "segments"])
 
@@ -69,7 +70,8 @@ def find_mislabelled(pages: DataFrame) -> DataFrame:
     rows give one row.
     """
     big = F.filter("language_found.langs", lambda x: x["share"] >= LEAST_SHARE)
-    long = F.length(F.regexp_replace("text_sample", r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]", "")) >= LEAST_CHARS
+    space = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    long = F.col("text_sample").rlike(rf"^(?:[{space}]*+[^{space}]){{{LEAST_CHARS}}}")  # read no further than that
     found = page_languages(pages.where(long)).select("doc_id", "page_index", "label_lang", "language_found.lang", big.alias("big"))
     wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang"))
     langs = F.when(F.size("big") >= 2, F.transform("big", lambda x: x["lang"])).when(wrong & F.col("lang").isNotNull(), F.array("lang"))
