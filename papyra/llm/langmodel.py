@@ -88,6 +88,9 @@ class LanguageModel:
             out[key] = v.astype(np.float32)
         return out
 
+    def known(self, word: str) -> bool:
+        return word in self.words
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_row", "_matrix", "_used")}
 
