@@ -1,8 +1,9 @@
 """Problem 3: prompt and response pairs that are useless as examples, and what is wrong with each.
 
 Responses are sorted by text, so that a shortened version of another response stands right before it;
-lengths at which a model's answers pile up are its limits; both feed the truncation judge. Copies,
-refusals and wrong languages are found by rules on each pair.
+lengths at which a model's answers pile up are its limits. Either flags an answer that ends without a
+mark as cut, before anything else is asked; the truncation judge decides the rest. Copies, refusals
+and wrong languages are found by rules on each pair.
 """
 
 from __future__ import annotations
@@ -140,36 +141,53 @@ def wrong_language(output: str, prompt: str | None, model: langmodel.LanguageMod
 
 
 def shortened(entries: DataFrame, least: int = LEAST_PREFIX) -> DataFrame:
-    """id of every entry whose output is a proper beginning of another output.
+    """id of every entry whose answer is a shortened version of another one (continued_answers)."""
+    return entries.select("id", F.xxhash64(F.rtrim("output")).alias("h")).join(continued_answers(entries, least), "h", "left_semi").select("id")
 
-    Distinct outputs are range-partitioned and sorted; a text that others continue is continued by
-    its successor. Each partition also gives up its first and last text, so that pairs across
-    borders are compared too; those are two rows for each partition.
+
+def continued_answers(entries: DataFrame, least: int = LEAST_PREFIX) -> DataFrame:
+    """h of every answer that another answer goes on from in the same line, where it ends without an end mark.
+
+    h is the xxhash64 of the answer without white space at its end. Answers are range-partitioned and
+    sorted by their text; one that others continue is continued by its successor. Copies are dropped
+    batch by batch first, so that a frequent answer is no hot range. Each partition also gives up its
+    first and last text, so that pairs across borders are compared too; those are two rows for each partition.
     """
-    texts = entries.where(F.length("output") >= least).select(F.rtrim("output").alias("t")).distinct()
-    ordered = texts.repartitionByRange("t").sortWithinPartitions("t").withColumn("p", F.spark_partition_id())
+    texts = entries.where(F.length("output") >= least).select(F.rtrim("output").alias("t")).withColumn("h", F.xxhash64("t"))
+    once = texts.mapInPandas(lambda batches: (b.drop_duplicates("h") for b in batches), "t string, h long")
+    ordered = once.repartitionByRange("t").sortWithinPartitions("t").withColumn("p", F.spark_partition_id())
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, first, p = None, None, -1
         for b in batches:
             found = []
-            for t in b["t"]:
-                if last is not None and t.startswith(last):
+            for t, h in zip(b["t"], b["h"]):
+                if last is not None and t.startswith(last[0]) and goes_on(last[0], t):
                     found.append(last)
-                last = t
-                first = t if first is None else first
+                last = (t, h)
+                first = last if first is None else first
             p = int(b["p"].iloc[0]) if len(b) else p
-            yield pd.DataFrame([(t, p, "continued") for t in found], columns=["t", "p", "role"])
+            yield pd.DataFrame([(None, h, p, "continued") for _, h in found], columns=["t", "h", "p", "role"])
         if last is not None:
-            yield pd.DataFrame([(first, p, "first"), (last, p, "last")], columns=["t", "p", "role"])
+            yield pd.DataFrame([(*first, p, "first"), (*last, p, "last")], columns=["t", "h", "p", "role"])
 
-    marked = cut_lineage(ordered.mapInPandas(neighbours, "t string, p int, role string"))
+    marked = cut_lineage(ordered.mapInPandas(neighbours, "t string, h long, p int, role string"))
     # The next partition's first text continues a partition's last text, or no text does. One window
     # over two rows for each partition.
     after = Window.orderBy("p", F.col("role") == "last")
-    border = marked.where("role <> 'continued'").withColumn("next", F.lead("t").over(after)).where("role = 'last' and startswith(next, t)").select("t")
-    continued = marked.where("role = 'continued'").select("t").unionByName(border).distinct()
-    return entries.where(F.length("output") >= least).select("id", F.rtrim("output").alias("t")).join(continued, "t", "left_semi").select("id")
+    within = F.expr("startswith(next, t) and length(next) > length(t)") & ~F.col("t").rlike(_ENDED) & ~F.expr("startswith(substring(next, length(t) + 1), '\n')")
+    border = marked.where("role <> 'continued'").withColumn("next", F.lead("t").over(after)).where("role = 'last'").where(within).select("h")
+    return marked.where("role = 'continued'").select("h").unionByName(border).distinct()
+
+
+#: An answer that ends so is whole, whatever others say after it.
+_ENDED = "[.!?。！？:][\\p{Punct}\"”’»）」』]*$"
+_ENDED_RE = re.compile(r"[.!?。！？:][!-/:-@\[-`{-~”’»）」』]*$")
+
+
+def goes_on(shorter: str, longer: str) -> bool:
+    """Whether longer, which begins with shorter, goes on within the sentence that shorter leaves open."""
+    return len(longer) > len(shorter) and longer[len(shorter)] != "\n" and not _ENDED_RE.search(shorter)
 
 
 def find_defects(journal: DataFrame, labelled: DataFrame, text: str = "text_sample", label: str = "language", keys: tuple[str, ...] = ("doc_id", "page_index")) -> DataFrame:
@@ -206,6 +224,6 @@ def find_defects(journal: DataFrame, labelled: DataFrame, text: str = "text_samp
     looked = cut_lineage(truncation.to_look(entries).withColumn("declined", declined).drop("error").mapInPandas(rules, f"{truncation.LOOKED}, defect string"))
     flagged = looked.where("defect is not null").select("id", "defect").distinct()
     tails = looked.drop("defect").where("status in ('cut', 'open')")
-    cut = truncation.judge_tails(entries, shortened(entries), looked=tails).where("truncated").select("id")
+    cut = truncation.judge_tails(entries, continued_answers(entries), looked=tails).where("truncated").select("id")
     useless = flagged.where("defect <> 'wrong_language'").select("id")
     return flagged.unionByName(cut.join(useless, "id", "left_anti").select("id", F.lit("truncated").alias("defect")))

@@ -2,18 +2,18 @@
 
 The corpus gives a vocabulary trie, kept as a relation (one row for each prefix of a known word, with
 what lies below it), and the frames of sentences (their first two words with the words they end on). An
-answer's structure and its own prompt decide most cases; the rest, whose last sentence has no end
-mark, is joined with trie and frames, with length evidence for what both leave open.
+answer's structure and its own prompt decide most cases. Of the rest, whose last sentence has no end
+mark, those at a model's length limit are cut; the others are held against trie and frames.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +26,8 @@ COMMON_LINE = 4
 LINE_SHARE = 0.5
 #: Lines of no more words than a frame's start (labels such as "no") begin unrelated sentences too: their share says nothing.
 FRAME_WORDS = 2
-#: Longest last line that is counted; one character more is kept of longer ones.
-LONGEST_LINE = 80
-LONGEST_WORD = 40
+#: Keys of more than this part of all look-ups are joined apart, as a table of fewer rows than its inverse.
+HOT = 0.001
 
 INVISIBLE = "​‌‍⁠﻿­"
 _BLANK = re.compile(rf"[\s{INVISIBLE}]+")
@@ -78,6 +77,12 @@ def keys_of(sentence: str) -> tuple[str, str, int]:
     return " ".join(w[:2]), w[-1].strip(",;:\"'“”„«»()[]*_`"), len(w)
 
 
+def hash64(text: str) -> int:
+    """64-bit hash, the one of Spark's xxhash64."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def tail(output: str | None, prompt: str | None) -> tuple[str, str, str, str, str, int, str]:
     """(status, why, last token, frame start, frame end, words, last line): status cut, whole, open or empty."""
     if not visible(output):
@@ -131,16 +136,33 @@ def tail(output: str | None, prompt: str | None) -> tuple[str, str, str, str, st
     piece = plain if item else (_SENTENCE.split(plain)[-1] or plain)
     a, z, n = keys_of(piece)
     found = _WORDS.findall(plain.lower())
-    token = "" if _DENSE.search(plain[-1:]) or not plain[-1:].isalpha() or not found else found[-1]
-    return "open", "", token, "•" if item else a, z, n, _DIGITS.sub("0", plain.lower())[:LONGEST_LINE]
+    token = "" if not plain[-1:].isalpha() or not found or _DENSE.match(found[-1]) or _DENSE.match(plain[-1]) else found[-1]
+    return "open", "", token, "•" if item else a, z, n, _DIGITS.sub("0", plain.lower())
+
+
+def line_hashes(line: str) -> list[int]:
+    """Hashes of a line's beginnings, word by word, also without the comma or colon they end on; the last is of the whole line."""
+    h, out, words = xxhash.xxh64(seed=42), [], line.split(" ")
+    for k, w in enumerate(words):
+        w = (" " if k else "") + w
+        if (bare := w.rstrip(",;:")) != w:
+            shorter = h.copy()
+            shorter.update(bare.encode("utf-8", "replace"))
+            out.append(shorter.intdigest())
+        h.update(w.encode("utf-8", "replace"))
+        out.append(h.intdigest())
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+COUNTED = "kind string, a string, b string, n long, least int, id string, digest long, starts array<long>"
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """kind, a, b, id, n, least: words and frames, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
+    """Rows of COUNTED: words and frames, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
     for batch in batches:
         words: Counter[str] = Counter()
         frames: dict[tuple[str, str], list[int]] = {}
-        lines: list[tuple[str, str, str]] = []
+        lines: list[tuple[int, str, int, list[int]]] = []
         for id_, prompt, output in zip(batch["id"], batch["prompt"], batch["output"]):
             if prompt:
                 words.update(_WORDS.findall(prompt.lower()))
@@ -163,38 +185,44 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last = _DIGITS.sub("0", (output.rstrip().rsplit("\n", 1)[-1]).lower())
             last = (_ITEM if _ITEM.match(last) else _HEAD).sub("", last).strip()
             if last and last[0] not in "{|`":
-                lines.append((last[: LONGEST_LINE + 1], hashlib.blake2b(f"{prompt}\0{output.rstrip()}".encode("utf-8", "replace"), digest_size=12).hexdigest(), id_))
-        rows = [("w", w, "", "", n, 0) for w, n in words.items() if len(w) <= LONGEST_WORD]
-        rows += [("f", a[:80], z[:80], "", n, m) for (a, z), (n, m) in frames.items()]
-        rows += [("l", x, digest, id_, 1, 0) for x, digest, id_ in lines]
-        yield pd.DataFrame(rows, columns=["kind", "a", "b", "id", "n", "least"])
+                lines.append((last.count(" ") + 1, id_, hash64(f"{prompt}\0{output.rstrip()}"), line_hashes(last)))
+        # a word of a script without spaces is no token that a tail may end on
+        rows = [("w", w, "", n, 0, None, None, None) for w, n in words.items() if not _DENSE.match(w)]
+        rows += [("f", a, z, n, m, None, None, None) for (a, z), (n, m) in frames.items()]
+        rows += [("l", None, None, None, n, id_, digest, starts) for n, id_, digest, starts in lines]
+        yield pd.DataFrame(rows, columns=["kind", "a", "b", "n", "least", "id", "digest", "starts"])
 
 
-def corpus_counts(entries: DataFrame) -> DataFrame:
-    """Words (kind w), frames (f: start, end, count, least words) and last lines (l: line, digest of prompt and answer, id) of all entries."""
-    return entries.select("id", "prompt", "output").mapInPandas(_counts, "kind string, a string, b string, id string, n long, least int").groupBy("kind", "a", "b", "id").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+def corpus_counts(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words: a, n; frames: start a, end b, n, least words; last lines: line, digest, id, starts, n_words) of all entries."""
+    raw = cut_lineage(entries.select("id", "prompt", "output").mapInPandas(_counts, COUNTED))
+    words = cut_lineage(raw.where("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n")))
+    frames = cut_lineage(raw.where("kind = 'f'").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")))
+    lines = raw.where("kind = 'l'").select(F.element_at("starts", -1).alias("line"), "digest", "id", "starts", F.col("least").alias("n_words"))
+    return words, frames, lines
 
 
 def common_lines(lines: DataFrame, lengthy: DataFrame) -> DataFrame:
-    """line: last lines that are whole, as most of the answers that begin with them end there.
+    """line (its hash): last lines that are whole, as most of the answers that begin with them end there.
 
-    lines: line, digest of prompt and answer, id. Copies of an answer count once (the same label given to
+    lines: line, digest of prompt and answer, id, starts, n_words. Copies of an answer count once (the same label given to
     different prompts doesn't), and those with length evidence (lengthy: id) only among the ones that begin with a line.
     """
-    ends = lines.join(lengthy, "id", "left_anti").groupBy("line").agg(F.countDistinct("digest").alias("n_line")).where((F.col("n_line") >= COMMON_LINE) & (F.length("line") <= LONGEST_LINE))
+    ends = lines.join(lengthy, "id", "left_anti").groupBy("line").agg(F.countDistinct("digest").alias("n_line"), F.min("n_words").alias("n_words")).where(F.col("n_line") >= COMMON_LINE)
     ends = cut_lineage(ends)
-    w = F.split("line", " ")
-    starts = F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), " "))
-    starts = F.array_distinct(F.concat(starts, F.transform(starts, lambda x: F.regexp_replace(x, "[,;:]+$", ""))))
-    answers = lines.select("line", "digest").distinct().groupBy("line").agg(F.count("*").alias("n"))
-    begun = answers.select(F.explode(starts).alias("line"), "n").join(ends.select("line"), "line", "left_semi").groupBy("line").agg(F.sum("n").alias("n_begun"))
-    return ends.join(begun, "line").where((F.size(w) <= FRAME_WORDS) | (F.col("n_line") >= LINE_SHARE * F.col("n_begun"))).select("line")
+    answers = lines.select("line", "digest", "starts").dropDuplicates(["line", "digest"]).groupBy("line").agg(F.count("*").alias("n"), F.first("starts").alias("starts"))
+    begun = answers.select(F.explode(F.array_distinct("starts")).alias("line"), "n").join(ends.select("line"), "line", "left_semi").groupBy("line").agg(F.sum("n").alias("n_begun"))
+    return ends.join(begun, "line").where((F.col("n_words") <= FRAME_WORDS) | (F.col("n_line") >= LINE_SHARE * F.col("n_begun"))).select("line")
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """node, below, n_below: each proper prefix of a known word with the number of words, and of their occurrences, under it."""
-    known = words.where("n >= 2")
-    return known.select(F.explode(F.expr("transform(sequence(1, greatest(1, length(a) - 1)), k -> substring(a, 1, k))")).alias("node"), "a", "n").where("node <> a").groupBy("node").agg(F.count("*").alias("below"), F.sum("n").alias("n_below"))
+def trie(words: DataFrame, lengths: list[int]) -> DataFrame:
+    """node, below, n_below: each proper prefix of a known word with the number of words, and of their occurrences, under it.
+
+    Only levels of the trie that are looked at (lengths) are kept, so that a long word costs no more than a short one.
+    """
+    levels = F.array(*[F.lit(k) for k in sorted(set(lengths))]).cast("array<int>")
+    known = words.where("n >= 2").select("a", "n", F.explode(F.filter(levels, lambda k: k < F.length("a"))).alias("k"))
+    return known.groupBy(F.expr("substring(a, 1, k)").alias("node")).agg(F.count("*").alias("below"), F.sum("n").alias("n_below"))
 
 
 def entries_of(journal: DataFrame) -> DataFrame:
@@ -209,7 +237,7 @@ def length_spikes(entries: DataFrame) -> DataFrame:
     return counts.withColumn("usual", F.percentile_approx("n", 0.5).over(around)).where("n >= 8 and n >= 6 * usual and n_tokens >= 64").select("model", "n_tokens")
 
 
-LOOKED = "id string, experiment string, provider string, model string, limited boolean, n_tokens long, status string, why string, token string, a string, z string, n_words int, line string"
+LOOKED = "id string, experiment string, provider string, model string, limited boolean, n_tokens long, h long, status string, why string, token string, a string, z string, n_words int, line long, digit boolean"
 
 
 def look(batch: pd.DataFrame, keep_whole: bool = True) -> pd.DataFrame:
@@ -218,8 +246,9 @@ def look(batch: pd.DataFrame, keep_whole: bool = True) -> pd.DataFrame:
     if not keep_whole:
         rest = [i for i, x in enumerate(t) if x[0] in ("cut", "open")]
         batch, t = batch.iloc[rest], [t[i] for i in rest]
-    kept = batch[["id", "experiment", "provider", "model", "limited", "n_tokens"]].reset_index(drop=True)
-    return pd.concat([kept, pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line"])], axis=1)
+    kept = batch[["id", "experiment", "provider", "model", "limited", "n_tokens", "h"]].reset_index(drop=True)
+    t = [(*x[:6], hash64(x[6]), x[6].endswith("0")) for x in t]
+    return pd.concat([kept, pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line", "digit"])], axis=1)
 
 
 def _limited() -> Column:
@@ -227,14 +256,27 @@ def _limited() -> Column:
 
 
 def to_look(entries: DataFrame) -> DataFrame:
-    return entries.select("id", "experiment", "provider", "model", "output", "prompt", _limited().alias("limited"), "n_tokens", "error")
+    """The columns that look needs; h is the hash of the answer without white space at its end."""
+    return entries.select("id", "experiment", "provider", "model", "output", "prompt", _limited().alias("limited"), "n_tokens", "error", F.xxhash64(F.rtrim("output")).alias("h"))
+
+
+def looked_up(asks: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """asks (id, role, key) with what facts (key, v1, v2, v3, one row each) say; keys without a fact are left out.
+
+    Keys that hold more than HOT of the total asks are fewer than its inverse: they are joined as a
+    broadcast table of so many rows, so that no task of the shuffled join gets more than its share.
+    """
+    hot = [r.key for r in asks.groupBy("key").count().where(F.col("count") > max(HOT * total, 1 / HOT)).select("key").collect()]
+    cold = asks.join(facts, "key") if not hot else asks.where(~F.col("key").isin(hot)).join(facts.where(~F.col("key").isin(hot)), "key")
+    return cold if not hot else cold.unionByName(asks.where(F.col("key").isin(hot)).join(F.broadcast(facts.where(F.col("key").isin(hot))), "key"))
 
 
-def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole: bool = True, looked: DataFrame | None = None) -> DataFrame:
+def judge_tails(entries: DataFrame, continued: DataFrame | None = None, keep_whole: bool = True, looked: DataFrame | None = None) -> DataFrame:
     """id, experiment, provider, model, truncated, why of every entry, once each.
 
-    Null and empty outputs are not truncated. extra: ids of answers that another answer continues;
-    it decides only what would stay open. Ties need no rule: every count is compared with a bound.
+    Null and empty outputs are not truncated. continued: hashes h of answers that another answer goes on
+    from within a sentence. An open tail of such an answer, or of one at a model's length limit, is cut;
+    the others are held against trie, frames and last lines. Ties need no rule: every count is compared with a bound.
     keep_whole=False leaves out entries whose structure already shows a whole answer. looked: their
     tails, where they are at hand.
     """
@@ -242,46 +284,68 @@ def judge_tails(entries: DataFrame, extra: DataFrame | None = None, keep_whole:
         looked = to_look(entries).drop("error").mapInPandas(lambda batches: (x for b in batches if len(x := look(b, keep_whole))), LOOKED)
     # both are read in several places: written once
     looked = cut_lineage(looked.dropDuplicates(["id"]))
-    counts = cut_lineage(corpus_counts(entries))
-    words = counts.where("kind = 'w'")
-    frames = counts.where("kind = 'f'")
-    starts = frames.groupBy("a").agg(F.sum("n").alias("n_start"), F.count("*").alias("ends"), F.min("least").alias("least_start"))
-    ends = frames.groupBy(F.col("b").alias("z")).agg(F.sum("n").alias("n_end"))
-    spikes = cut_lineage(length_spikes(entries)).withColumn("spike", F.lit(True))
-    if extra is not None:
-        extra = cut_lineage(extra.select("id").distinct())
+    words, frames, last = corpus_counts(entries)
+    spikes = cut_lineage(length_spikes(entries))
     lengthy = entries.where(_limited()).select("id").unionByName(entries.join(spikes, ["model", "n_tokens"], "left_semi").select("id"))
-    lengthy = lengthy if extra is None else lengthy.unionByName(extra)
-    lines = common_lines(counts.where("kind = 'l'").select(F.col("a").alias("line"), F.col("b").alias("digest"), "id"), lengthy).withColumn("common", F.lit(True))
     opened = looked.where("status = 'open'")
-    opened = (
-        opened.join(words.select(F.col("a").alias("token"), F.col("n").alias("n_word")), "token", "left")
-        .join(trie(words).withColumnRenamed("node", "token"), "token", "left")
-        .join(frames.select("a", F.col("b").alias("z"), F.col("n").alias("n_frame"), F.col("least").alias("least_frame")), ["a", "z"], "left")
-        .join(starts, "a", "left")
-        .join(ends, "z", "left")
-        .join(lines, "line", "left")
-        .join(spikes, ["model", "n_tokens"], "left")
-    )
-    if extra is not None:
-        opened = opened.join(extra.withColumn("continued", F.lit(True)), "id", "left")
-    else:
-        opened = opened.withColumn("continued", F.lit(False))
-    n = {k: F.coalesce(F.col(k), F.lit(0)) for k in ("n_word", "below", "n_below", "n_frame", "n_start", "ends", "n_end", "least_start")}
-    common = F.coalesce("common", F.lit(False))
-    evidence = F.col("limited") | F.coalesce("spike", F.lit(False)) | F.coalesce("continued", F.lit(False))
+    # every look-up of every open tail is one row, so that one join answers all of them
+    about = {
+        "word": F.when(F.col("token") != "", F.xxhash64(F.lit("word"), "token")),
+        "node": F.when(F.col("token") != "", F.xxhash64(F.lit("node"), "token")),
+        "frame": F.xxhash64(F.lit("frame"), "a", "z"),
+        "start": F.xxhash64(F.lit("start"), "a"),
+        "end": F.xxhash64(F.lit("end"), "z"),
+        "line": F.xxhash64(F.lit("line"), "line"),
+        "spike": F.when(F.col("n_tokens").isNotNull(), F.xxhash64(F.lit("spike"), "model", "n_tokens")),
+        "more": F.xxhash64(F.lit("more"), "h"),
+    }
+    asks = opened.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), x.alias("key")) for k, x in about.items()])).alias("x")).select("id", "x.role", "x.key").where("key is not null")
+    lengths = [r.k for r in opened.where("token <> ''").select(F.length("token").alias("k")).distinct().collect()]
+    none = F.lit(0).cast("long")
+
+    def fact(df: DataFrame, role: str, key: list[str], *values: Column) -> DataFrame:
+        v = [x.cast("long") for x in values] + [none] * (3 - len(values))
+        return df.select(F.xxhash64(F.lit(role), *key).alias("key"), *[x.alias(f"v{i + 1}") for i, x in enumerate(v)])
+
+    starts = frames.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("ends"), F.min("least").alias("least"))
+    tables = [
+        fact(words, "word", ["a"], F.col("n")),
+        fact(frames, "frame", ["a", "b"], F.col("n"), F.col("least")),
+        fact(starts, "start", ["a"], F.col("n"), F.col("ends"), F.col("least")),
+        fact(frames.groupBy("b").agg(F.sum("n").alias("n")), "end", ["b"], F.col("n")),
+        fact(common_lines(last, lengthy), "line", ["line"], F.lit(1)),
+        fact(spikes, "spike", ["model", "n_tokens"], F.lit(1)),
+    ]
+    if lengths:
+        tables.append(fact(trie(words, lengths), "node", ["node"], F.col("below"), F.col("n_below")))
+    if continued is not None:
+        tables.append(fact(continued.select("h").distinct(), "more", ["h"], F.lit(1)))
+    facts = tables[0]
+    for t in tables[1:]:
+        facts = facts.unionByName(t)
+    got = looked_up(asks, facts, opened.count() * len(about))
+
+    def said(role: str, v: int, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col(f"v{v}"))), F.lit(0)).alias(name)
+
+    known = (("word", 1, "n_word"), ("node", 1, "below"), ("node", 2, "n_below"), ("frame", 1, "n_frame"), ("start", 1, "n_start"), ("start", 2, "ends"), ("start", 3, "least_start"), ("end", 1, "n_end"), ("line", 1, "common"), ("spike", 1, "spike"), ("more", 1, "more"))
+    opened = opened.join(got.groupBy("id").agg(*[said(*k) for k in known]), "id", "left")
+    n = {k: F.coalesce(F.col(k), F.lit(0)) for _, _, k in known}
+    common = n["common"] > 0
     prefix = (F.col("token") != "") & (n["below"] > 0) & ((n["n_word"] == 0) | (n["n_below"] > 200 * n["n_word"]) & (n["n_frame"] == 0))
     # items of lists are no frame: what ends any sentence may end an item
     closed = (F.col("a") != "•") & (n["n_start"] >= FRAME) & (n["ends"] <= 0.6 * n["n_start"])
     why = (
-        F.when(common & ~prefix & ((n["n_frame"] > 0) | ~closed), F.lit(None))
+        F.when(n["more"] > 0, F.lit("continued"))
+        .when((n["spike"] > 0) & (F.col("a") != "•"), F.lit("length"))
+        .when(common & ~prefix & ((n["n_frame"] > 0) | ~closed), F.lit(None))
         .when(prefix, F.lit("word"))
         .when(closed & (n["n_frame"] == 0), F.lit("sentence"))
         .when(closed & (F.col("n_words") < n["least_start"]), F.lit("sentence"))
-        .when(n["n_frame"] > 0, F.when(F.coalesce("continued", F.lit(False)) | (F.col("limited") & F.col("line").rlike("0$") & (F.col("a") != "•") & (F.col("n_words") > 3)), F.lit("sentence")))
+        .when(n["n_frame"] > 0, F.when(F.col("limited") & F.col("digit") & (F.col("a") != "•") & (F.col("n_words") > 3), F.lit("sentence")))
         .when((n["n_end"] == 0) & ((F.col("n_words") > 3) | (n["n_word"] >= FRAME)), F.lit("sentence"))
         .when((n["n_end"] < 0.01 * n["n_word"]), F.lit("sentence"))
-        .when(evidence & ~common & (F.col("a") != "•"), F.lit("length"))
+        .when(F.col("limited") & ~common & (F.col("a") != "•"), F.lit("length"))
     )
     out = ["id", "experiment", "provider", "model"]
     judged = opened.select(*out, why.isNotNull().alias("truncated"), why.alias("why"))

@@ -167,3 +167,52 @@ def test_ocr(spark):
 def test_language_model_without_data():
     m = langmodel._build({})
     assert m.spans("some text here.") and m.shares("") == [] and m.known("x") == 0
+
+
+def test_neighbours_decide(spark):
+    """An answer that another one goes on from within its sentence is cut, though nothing else says so."""
+    page = "Sum it up.\n\nThe keeper counted goats. "
+    plain = [("t%d" % i, "Nobody asked about the gate on day %d." % i) for i in range(20)]
+    pair = [("short", "The keeper looked after the gate and the goats"), ("long", "The keeper looked after the gate and the goats of the whole valley.")]
+    marked = [("done", "The keeper looked after the hens and fed them."), ("more", "The keeper looked after the hens and fed them. Then it rained.")]
+    rows = [(k, "e", "p", "m", page, o, None, None, None, "c", "c") for k, o in plain + pair + marked]
+    entries = truncation.entries_of(spark.createDataFrame(rows, JOURNAL))
+    assert {r.id for r in pairs.shortened(entries).collect()} == {"short"}
+    judged = {r.id: r.why for r in truncation.judge_tails(entries, pairs.continued_answers(entries)).where("truncated").collect()}
+    assert judged == {"short": "continued"}
+
+
+def test_length_limit_decides(spark):
+    """Answers without an end mark are cut where a model's answers pile up, and only there."""
+    rows = [(f"s{i}", "e", "p", "m", "x", f"Row {'abcdefghij'[i]} of the yard holds hens and ducks", None, (128,), None, "c", "c") for i in range(10)]
+    rows += [(f"o{n}", "e", "p", "m", "x", f"Done with {n} things.", None, (n,), None, "c", "c") for n in range(100, 156)]
+    judged = {r.id: r.why for r in truncation.judge_tails(truncation.entries_of(spark.createDataFrame(rows, JOURNAL))).where("truncated").collect()}
+    assert judged == {f"s{i}": "length" for i in range(10)}
+
+
+def test_hot_look_ups(spark):
+    """A key that holds most look-ups is joined apart and gives the same rows."""
+    from pyspark.sql import functions as F
+
+    asks = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("word").alias("role"), F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("key"))
+    facts = spark.range(4000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v1"), F.lit(0).alias("v2"), F.lit(0).alias("v3"))
+    got = truncation.looked_up(asks, facts, 5000)
+    assert got.count() == 4000 and {r.v1 for r in got.where("key = 7").collect()} == {14} and got.where("key = 7").count() == 3000
+
+
+def test_long_keys(spark):
+    """Words and lines of any length take part: nothing is cut before it is compared."""
+    long_word = "x" * 60 + "ylophone"
+    page = f"Sum it up.\n\nThe {long_word} stood there. The {long_word} was sold. "
+    rows = [(f"g{i}", "e", "p", "m", page, f"Nothing new came up in week {i}.", "stop", None, None, "c", "c") for i in range(5)]
+    rows += [("cut", "e", "p", "m", "Other.", "They sold the " + "x" * 60 + "ylo", None, None, None, "c", "c")]
+    judged = {r.id: r.why for r in truncation.judge_tails(truncation.entries_of(spark.createDataFrame(rows, JOURNAL))).where("truncated").collect()}
+    assert judged == {"cut": "word"}
+    assert len(truncation.line_hashes("a, b")) == 3 and truncation.line_hashes("a, b")[-1] == truncation.hash64("a, b")
+
+
+def test_hashes_are_sparks(spark):
+    words = ["e", "ﬁ", "漢字", "misread"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) as h").withColumn("a", ocr._anagram("w"))
+    for r in df.collect():
+        assert r.h == truncation.hash64(r.w) and r.a == ocr.anagram(r.w)
