@@ -211,19 +211,12 @@ def find_defects(journal: DataFrame, labelled: DataFrame, text: str = "text_samp
             return "copy"
         return "wrong_language" if wrong_language(output, prompt, model) else None
 
-    def rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            found = truncation.look(b)
-            found["defect"] = [defect(p, o, no, m) for p, o, no in zip(b["prompt"], b["output"], b["declined"])]
-            found = found[found["defect"].notna() | found["status"].isin(["cut", "open"])]
-            if len(found):
-                yield found
-
-    # one pass over the texts gives both the rules' findings and the tails that the judge needs
-    looked = cut_lineage(truncation.to_look(entries).withColumn("declined", declined).drop("error").mapInPandas(rules, f"{truncation.LOOKED}, defect string"))
-    flagged = looked.where("defect is not null").select("id", "defect").distinct()
-    tails = looked.drop("defect").where("status in ('cut', 'open')")
-    cut = truncation.judge_tails(entries, continued_answers(entries), looked=tails).where("truncated").select("id")
+    def rules(b: truncation.Batch) -> list[str | None]:
+        return [defect(p, o, no, shared.value) for p, o, no in zip(b["prompt"], b["output"], b["declined"])]
+
+    # one pass over the texts gives the rules' findings, the tails and the counts that the judge needs
+    raw = truncation.read_texts(entries.withColumn("declined", declined), False, rules)
+    flagged = raw.where("kind = 't' and defect is not null").select("id", "defect")
+    cut = truncation.judge_tails(entries, continued_answers(journal), raw=raw).where("truncated").select("id")
     useless = flagged.where("defect <> 'wrong_language'").select("id")
     return flagged.unionByName(cut.join(useless, "id", "left_anti").select("id", F.lit("truncated").alias("defect")))

@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,62 +154,92 @@ def line_hashes(line: str) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
-COUNTED = "kind string, a string, b string, n long, least int, id string, digest long, starts array<long>"
+#: One pass over the texts gives rows of several kinds: tails (t), words (w), frames (f), last lines (l) and numbers of answers by length (n).
+RAW = {
+    "kind": "string", "id": "string", "experiment": "string", "provider": "string", "model": "string", "limited": "boolean", "n_tokens": "long", "h": "long",
+    "status": "string", "why": "string", "token": "string", "a": "string", "z": "string", "n_words": "int", "line": "long", "digit": "boolean",
+    "n": "long", "least": "int", "digest": "long", "starts": "array<long>", "defect": "string",
+}
+LOOKED = ["id", "experiment", "provider", "model", "limited", "n_tokens", "h", "status", "why", "token", "a", "z", "n_words", "line", "digit", "defect"]
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of COUNTED: words and frames, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
-    for batch in batches:
-        words: Counter[str] = Counter()
-        frames: dict[tuple[str, str], list[int]] = {}
-        lines: list[tuple[int, str, int, list[int]]] = []
-        for id_, prompt, output in zip(batch["id"], batch["prompt"], batch["output"]):
-            if prompt:
-                words.update(_WORDS.findall(prompt.lower()))
-            if not output:
-                continue
-            words.update(_WORDS.findall(output.lower())[:-1])
-            parts = _SENTENCE.split(output)
-            for k, s in enumerate(parts):
-                s = s.strip()
-                if len(s) < 4 or s[0] in "{|`":
-                    continue
-                item = _ITEM.match(s)
-                done = s[-1] in ".!?。！？" or _DONE.search(s)
-                if not done and (not item or k == len(parts) - 1):
-                    continue
-                a, z, n = keys_of(_ITEM.sub("", s))
-                f = frames.setdefault(("•" if item else a, z), [0, n])
-                f[0] += 1
-                f[1] = min(f[1], n)
-            last = _DIGITS.sub("0", (output.rstrip().rsplit("\n", 1)[-1]).lower())
-            last = (_ITEM if _ITEM.match(last) else _HEAD).sub("", last).strip()
-            if last and last[0] not in "{|`":
-                lines.append((last.count(" ") + 1, id_, hash64(f"{prompt}\0{output.rstrip()}"), line_hashes(last)))
-        # a word of a script without spaces is no token that a tail may end on
-        rows = [("w", w, "", n, 0, None, None, None) for w, n in words.items() if not _DENSE.match(w)]
-        rows += [("f", a, z, n, m, None, None, None) for (a, z), (n, m) in frames.items()]
-        rows += [("l", None, None, None, n, id_, digest, starts) for n, id_, digest, starts in lines]
-        yield pd.DataFrame(rows, columns=["kind", "a", "b", "n", "least", "id", "digest", "starts"])
-
-
-def corpus_counts(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words: a, n; frames: start a, end b, n, least words; last lines: line, digest, id, starts, n_words) of all entries."""
-    raw = cut_lineage(entries.select("id", "prompt", "output").mapInPandas(_counts, COUNTED))
-    words = cut_lineage(raw.where("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n")))
-    frames = cut_lineage(raw.where("kind = 'f'").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("least").alias("least")))
-    lines = raw.where("kind = 'l'").select(F.element_at("starts", -1).alias("line"), "digest", "id", "starts", F.col("least").alias("n_words"))
-    return words, frames, lines
+_TYPES = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+
+
+def _rows(kind: str, columns: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of one kind; the columns of the others are null."""
+    given = dict(zip(columns, zip(*rows))) if rows else {}
+    given["kind"] = [kind] * len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(given[k], type=_TYPES[t]) if k in given else pa.nulls(len(rows), type=_TYPES[t]) for k, t in RAW.items()], names=list(RAW))
 
 
-def common_lines(lines: DataFrame, lengthy: DataFrame) -> DataFrame:
+Batch = dict[str, list]
+
+
+def counts(batch: Batch) -> Iterator[pa.RecordBatch]:
+    """Words, frames and lengths, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
+    words: Counter[str] = Counter()
+    frames: dict[tuple[str, str], list[int]] = {}
+    lines: list[tuple] = []
+    for model, n_tokens, limited, prompt, output in zip(batch["model"], batch["n_tokens"], batch["limited"], batch["prompt"], batch["output"]):
+        if prompt:
+            words.update(_WORDS.findall(prompt.lower()))
+        if not output:
+            continue
+        words.update(_WORDS.findall(output.lower())[:-1])
+        parts = _SENTENCE.split(output)
+        for k, s in enumerate(parts):
+            s = s.strip()
+            if len(s) < 4 or s[0] in "{|`":
+                continue
+            item = _ITEM.match(s)
+            done = s[-1] in ".!?。！？" or _DONE.search(s)
+            if not done and (not item or k == len(parts) - 1):
+                continue
+            a, z, n = keys_of(_ITEM.sub("", s))
+            f = frames.setdefault(("•" if item else a, z), [0, n])
+            f[0] += 1
+            f[1] = min(f[1], n)
+        last = _DIGITS.sub("0", (output.rstrip().rsplit("\n", 1)[-1]).lower())
+        last = (_ITEM if _ITEM.match(last) else _HEAD).sub("", last).strip()
+        if last and last[0] not in "{|`":
+            starts = line_hashes(last)
+            lines.append((model, n_tokens, limited, last.count(" ") + 1, starts[-1], hash64(f"{prompt}\0{output.rstrip()}"), starts))
+    # a word of a script without spaces is no token that a tail may end on
+    yield _rows("w", ["a", "n"], [(w, n) for w, n in words.items() if not _DENSE.match(w)])
+    yield _rows("f", ["a", "z", "n", "least"], [(a, z, n, m) for (a, z), (n, m) in frames.items()])
+    yield _rows("l", ["model", "n_tokens", "limited", "n_words", "line", "digest", "starts"], lines)
+    by = Counter((m, t) for m, t in zip(batch["model"], batch["n_tokens"]) if t is not None)
+    yield _rows("n", ["model", "n_tokens", "n"], [(m, t, n) for (m, t), n in by.items()])
+
+
+def look(batch: Batch, keep_whole: bool = True, defects: list[str | None] | None = None) -> pa.RecordBatch:
+    """The tails of a batch of entries. keep_whole=False leaves out entries that are whole or empty and have no defect."""
+    kept = zip(*(batch[k] for k in ("id", "experiment", "provider", "model", "limited", "n_tokens", "h")))
+    found = zip(kept, (tail(o, p) for o, p in zip(batch["output"], batch["prompt"])), defects or [None] * len(batch["id"]))
+    return _rows("t", LOOKED, [(*k, *x[:6], hash64(x[6]), x[6].endswith("0"), d) for k, x, d in found if keep_whole or d or x[0] in ("cut", "open")])
+
+
+def read_texts(entries: DataFrame, keep_whole: bool = True, judge: Callable[[Batch], list[str | None]] | None = None) -> DataFrame:
+    """Rows of RAW from one pass over the texts of all entries, written once. judge gives other defects of a batch's entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch = b.to_pydict()
+            yield look(batch, keep_whole, judge(batch) if judge else None)
+            yield from counts(batch)
+
+    return cut_lineage(to_look(entries).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in RAW.items())))
+
+
+def common_lines(lines: DataFrame, spikes: DataFrame) -> DataFrame:
     """line (its hash): last lines that are whole, as most of the answers that begin with them end there.
 
-    lines: line, digest of prompt and answer, id, starts, n_words. Copies of an answer count once (the same label given to
-    different prompts doesn't), and those with length evidence (lengthy: id) only among the ones that begin with a line.
+    lines: rows of kind l. Copies of an answer count once (the same label given to different prompts doesn't), and
+    those with length evidence (limited, or at one of the spikes) only among the ones that begin with a line.
     """
-    ends = lines.join(lengthy, "id", "left_anti").groupBy("line").agg(F.countDistinct("digest").alias("n_line"), F.min("n_words").alias("n_words")).where(F.col("n_line") >= COMMON_LINE)
-    ends = cut_lineage(ends)
+    free = lines.where("not limited").join(spikes, ["model", "n_tokens"], "left_anti")
+    ends = cut_lineage(free.groupBy("line").agg(F.countDistinct("digest").alias("n_line"), F.min("n_words").alias("n_words")).where(F.col("n_line") >= COMMON_LINE))
     answers = lines.select("line", "digest", "starts").dropDuplicates(["line", "digest"]).groupBy("line").agg(F.count("*").alias("n"), F.first("starts").alias("starts"))
     begun = answers.select(F.explode(F.array_distinct("starts")).alias("line"), "n").join(ends.select("line"), "line", "left_semi").groupBy("line").agg(F.sum("n").alias("n_begun"))
     return ends.join(begun, "line").where((F.col("n_words") <= FRAME_WORDS) | (F.col("n_line") >= LINE_SHARE * F.col("n_begun"))).select("line")
@@ -230,34 +260,21 @@ def entries_of(journal: DataFrame) -> DataFrame:
     return journal.select("id", "experiment", F.lower(F.trim("provider")).alias("provider"), "model", "prompt", "output", F.lower("finish_reason").alias("finish_reason"), F.col("tokens.output").alias("n_tokens"), "error").where("id is not null").dropDuplicates(["id"])
 
 
-def length_spikes(entries: DataFrame) -> DataFrame:
-    """model, n_tokens where far more answers of a model end than at the lengths around it: its limits."""
-    counts = entries.where("n_tokens is not null").groupBy("model", "n_tokens").agg(F.count("*").alias("n"))
+def length_spikes(lengths: DataFrame) -> DataFrame:
+    """model, n_tokens where far more answers of a model end than at the lengths around it: its limits. lengths: model, n_tokens, n."""
+    counts = lengths.groupBy("model", "n_tokens").agg(F.sum("n").alias("n"))
     around = Window.partitionBy("model").orderBy("n_tokens").rowsBetween(-4, 4)
     return counts.withColumn("usual", F.percentile_approx("n", 0.5).over(around)).where("n >= 8 and n >= 6 * usual and n_tokens >= 64").select("model", "n_tokens")
 
 
-LOOKED = "id string, experiment string, provider string, model string, limited boolean, n_tokens long, h long, status string, why string, token string, a string, z string, n_words int, line long, digit boolean"
-
-
-def look(batch: pd.DataFrame, keep_whole: bool = True) -> pd.DataFrame:
-    """The tails of a batch of entries, with the columns of LOOKED."""
-    t = [tail(o, p) for o, p in zip(batch["output"], batch["prompt"])]
-    if not keep_whole:
-        rest = [i for i, x in enumerate(t) if x[0] in ("cut", "open")]
-        batch, t = batch.iloc[rest], [t[i] for i in rest]
-    kept = batch[["id", "experiment", "provider", "model", "limited", "n_tokens", "h"]].reset_index(drop=True)
-    t = [(*x[:6], hash64(x[6]), x[6].endswith("0")) for x in t]
-    return pd.concat([kept, pd.DataFrame(t, columns=["status", "why", "token", "a", "z", "n_words", "line", "digit"])], axis=1)
-
-
 def _limited() -> Column:
     return F.coalesce(F.col("finish_reason").isin("length", "max_tokens"), F.lit(False))
 
 
 def to_look(entries: DataFrame) -> DataFrame:
-    """The columns that look needs; h is the hash of the answer without white space at its end."""
-    return entries.select("id", "experiment", "provider", "model", "output", "prompt", _limited().alias("limited"), "n_tokens", "error", F.xxhash64(F.rtrim("output")).alias("h"))
+    """The columns that one pass over the texts needs; h is the hash of the answer without white space at its end."""
+    more = [c for c in ("declined",) if c in entries.columns]
+    return entries.select("id", "experiment", "provider", "model", "output", "prompt", _limited().alias("limited"), "n_tokens", F.xxhash64(F.rtrim("output")).alias("h"), *more)
 
 
 def looked_up(asks: DataFrame, facts: DataFrame, total: int) -> DataFrame:
@@ -271,22 +288,22 @@ def looked_up(asks: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     return cold if not hot else cold.unionByName(asks.where(F.col("key").isin(hot)).join(F.broadcast(facts.where(F.col("key").isin(hot))), "key"))
 
 
-def judge_tails(entries: DataFrame, continued: DataFrame | None = None, keep_whole: bool = True, looked: DataFrame | None = None) -> DataFrame:
+def judge_tails(entries: DataFrame, continued: DataFrame | None = None, keep_whole: bool = True, raw: DataFrame | None = None) -> DataFrame:
     """id, experiment, provider, model, truncated, why of every entry, once each.
 
     Null and empty outputs are not truncated. continued: hashes h of answers that another answer goes on
     from within a sentence. An open tail of such an answer, or of one at a model's length limit, is cut;
     the others are held against trie, frames and last lines. Ties need no rule: every count is compared with a bound.
-    keep_whole=False leaves out entries whose structure already shows a whole answer. looked: their
-    tails, where they are at hand.
+    keep_whole=False leaves out entries whose structure already shows a whole answer. raw: what
+    read_texts gave for the entries, where it is at hand.
     """
-    if looked is None:
-        looked = to_look(entries).drop("error").mapInPandas(lambda batches: (x for b in batches if len(x := look(b, keep_whole))), LOOKED)
-    # both are read in several places: written once
-    looked = cut_lineage(looked.dropDuplicates(["id"]))
-    words, frames, last = corpus_counts(entries)
-    spikes = cut_lineage(length_spikes(entries))
-    lengthy = entries.where(_limited()).select("id").unionByName(entries.join(spikes, ["model", "n_tokens"], "left_semi").select("id"))
+    if raw is None:
+        raw = read_texts(entries, keep_whole)
+    looked = raw.where("kind = 't'").select(*LOOKED)
+    words = cut_lineage(raw.where("kind = 'w'").groupBy("a").agg(F.sum("n").alias("n")))
+    frames = cut_lineage(raw.where("kind = 'f'").groupBy("a", F.col("z").alias("b")).agg(F.sum("n").alias("n"), F.min("least").alias("least")))
+    spikes = cut_lineage(length_spikes(raw.where("kind = 'n'").select("model", "n_tokens", "n")))
+    last = raw.where("kind = 'l'").select("model", "n_tokens", "limited", "n_words", "line", "digest", "starts")
     opened = looked.where("status = 'open'")
     # every look-up of every open tail is one row, so that one join answers all of them
     about = {
@@ -313,7 +330,7 @@ def judge_tails(entries: DataFrame, continued: DataFrame | None = None, keep_who
         fact(frames, "frame", ["a", "b"], F.col("n"), F.col("least")),
         fact(starts, "start", ["a"], F.col("n"), F.col("ends"), F.col("least")),
         fact(frames.groupBy("b").agg(F.sum("n").alias("n")), "end", ["b"], F.col("n")),
-        fact(common_lines(last, lengthy), "line", ["line"], F.lit(1)),
+        fact(common_lines(last, spikes), "line", ["line"], F.lit(1)),
         fact(spikes, "spike", ["model", "n_tokens"], F.lit(1)),
     ]
     if lengths:
