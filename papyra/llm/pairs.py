@@ -52,6 +52,7 @@ REPORTED = re.compile(r"\b(?:sender|letter|author|writer|customer|office|council
 POLICY_ERROR = r"(?i)policy|moderation|safety|declined|refused \(|content.?filter|guideline|blocked:"
 
 _INSTRUCTION_END = re.compile(r"\n\s*(?:\n|---|<\w+>|```|===)")
+_DENSE = re.compile("[぀-\U0010ffff]")
 _FIRST = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _ASKED = {
     **{name: code for code, (_, _, names) in LANGUAGES.items() for name in names},
@@ -108,7 +109,7 @@ def _prose(output: str) -> str | None:
     body = re.sub(r"^\s*```\w*\n|\n```\s*$", "", output).strip()
     if body[:1] in ("{", "[", "|") or "\n|" in body and body.count("|") > 6:
         return None
-    dense = sum(c >= "぀" for c in body)
+    dense = 0 if body.isascii() else len(_DENSE.findall(body))
     return body if dense >= 10 or len(body) - dense > 28 and len(body.split()) > 4 else None
 
 

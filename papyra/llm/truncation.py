@@ -142,15 +142,20 @@ def tail(output: str | None, prompt: str | None) -> tuple[str, str, str, str, st
 
 def line_hashes(line: str) -> list[int]:
     """Hashes of a line's beginnings, word by word, also without the comma or colon they end on; the last is of the whole line."""
-    h, out, words = xxhash.xxh64(seed=42), [], line.split(" ")
-    for k, w in enumerate(words):
-        w = (" " if k else "") + w
-        if (bare := w.rstrip(",;:")) != w:
-            shorter = h.copy()
-            shorter.update(bare.encode("utf-8", "replace"))
-            out.append(shorter.intdigest())
-        h.update(w.encode("utf-8", "replace"))
-        out.append(h.intdigest())
+    raw, out, at = line.encode("utf-8", "replace"), [], -1
+    # a short line's beginnings are hashed one by one, a long one's on from each other
+    h, done = (xxhash.xxh64(seed=42), 0) if len(raw) > 1000 else (None, 0)
+    while at < len(raw):
+        at = raw.find(b" ", at + 1)
+        at = len(raw) if at < 0 else at
+        bare = len(raw[done:at].rstrip(b",;:")) + done
+        for end in (bare, at) if bare != at else (at,):
+            if h is None:
+                out.append(xxhash.xxh64_intdigest(raw[:end], seed=42))
+            else:
+                h.update(raw[done:end])
+                done = end
+                out.append(h.intdigest())
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
