@@ -1,15 +1,16 @@
 """Problem 8: mix sources to target weights.
 
-Weights come from temperature mixing: natural token shares are raised to an exponent that is bisected
-until a target entropy or the limit on repetition is met. Given target shares hold as they are; a
-budget that they cannot fill within the repetition limits is met by the mixture nearest to them on the
-way back to the natural shares. Each source's documents are dealt in whole permutations (epochs), the
-last one cut at the budget.
+Weights come from temperature mixing: token shares are raised to an exponent that is bisected until a
+target entropy or the limit on repetition is met. Where target shares are given, the family of mixtures
+leads from the natural shares (exponent 0) to the targets (exponent 1), and the largest exponent that the
+repetition limits allow is taken: 1, so the targets themselves, unless a budget asks for more than they can
+fill. Each source's documents are dealt in whole permutations (epochs), the last one cut at the budget.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from papyra.session import cut_lineage
 
 #: Documents of a permutation are summed in so many blocks; only the block at the cut is read row by row.
 BLOCKS = 1 << 14
+#: Sources are few: their sizes are read by the driver.
+SOURCES = 10_000
 
 
 def entropy(weights: dict[str, float]) -> float:
@@ -54,24 +57,44 @@ def temperature_weights(sizes: dict[str, int], target_entropy: float | None = No
     return tempered(shares, bisect_exponent(lambda a: all(w * need <= limit.get(k, 1) * sizes[k] for k, w in tempered(shares, a).items())))
 
 
-def mixture(sizes: dict[str, int], targets: dict[str, float], max_repeats: dict[str, int], budget: int | None = None) -> dict[str, int]:
-    """Tokens to draw from each source.
+@dataclass
+class Mixture:
+    """Tokens to draw from each source, and the exponent that gave them: what it met, and the entropy it has."""
+
+    draw: dict[str, int]
+    exponent: float
+    met: str
+
+    @property
+    def entropy(self) -> float:
+        total = sum(self.draw.values())
+        return entropy({k: n / total for k, n in self.draw.items()}) if total else 0.0
+
 
-    Without a budget: the largest total at which every source reaches its target share within its
-    repeats. With one that is larger: shares between the natural and the target ones, the exponent
-    of the target bisected to the nearest that the limits allow (or, failing even there, each source at
-    its limit). A source without tokens gets none, and the others share its part.
+def blend(sizes: dict[str, int], targets: dict[str, float] | None, max_repeats: dict[str, int], budget: int | None = None, target_entropy: float | None = None) -> Mixture:
+    """The mixture of sources of these sizes.
+
+    With targets: weights proportional to natural^(1 - b) target^b, for the largest exponent b in [0, 1] at
+    which no source needs more than its repeats (failing even at 0, each source at its limit). Without a
+    budget the total is the largest at which every source reaches its target share, where b is 1. A source
+    without tokens gets none, and the others share its part. Without targets: natural shares to the
+    power that meets target_entropy, or else the smallest that the repetition limits allow.
     """
-    live = {k: t for k, t in targets.items() if t > 0 and sizes.get(k, 0) > 0 and max_repeats.get(k, 1) > 0}
+    live = {k: n for k, n in sizes.items() if n > 0 and max_repeats.get(k, 1) > 0 and (targets is None or targets.get(k, 0) > 0)}
     if not live:
-        return {}
-    norm = sum(live.values())
-    goal = {k: t / norm for k, t in live.items()}
-    caps = {k: sizes[k] * max_repeats.get(k, 1) for k in live}
-    feasible = min(caps[k] / goal[k] for k in live)
-    if budget is None or budget <= feasible:
-        return {k: round(goal[k] * min(feasible, budget or feasible)) for k in live}
+        return Mixture({}, 1.0, "nothing")
+    caps = {k: n * max_repeats.get(k, 1) for k, n in live.items()}
     most = sum(caps.values())
+    if targets is None:
+        size = min(budget or sum(live.values()), most)
+        w = temperature_weights(live, target_entropy, size, max_repeats)
+        a, b = max(live, key=live.get), min(live, key=live.get)
+        exponent = math.log(w[a] / w[b]) / math.log(live[a] / live[b]) if live[a] > live[b] else 1.0
+        return Mixture({k: min(caps[k], round(x * size)) for k, x in w.items()}, exponent, "repetition limit" if target_entropy is None else "entropy")
+    norm = sum(targets[k] for k in live)
+    goal = {k: targets[k] / norm for k in live}
+    feasible = min(caps[k] / goal[k] for k in live)
+    size = min(feasible if budget is None else budget, most)
     natural = {k: caps[k] / most for k in live}
 
     def at(beta: float) -> dict[str, float]:
@@ -79,9 +102,13 @@ def mixture(sizes: dict[str, int], targets: dict[str, float], max_repeats: dict[
         total = sum(x.values())
         return {k: v / total for k, v in x.items()}
 
-    size = min(budget, most)
     beta = 1 - bisect_exponent(lambda b: all(w * size <= caps[k] * (1 + 1e-9) for k, w in at(1 - b).items()))
-    return {k: min(caps[k], round(w * size)) for k, w in at(beta).items()}
+    return Mixture({k: min(caps[k], round(w * size)) for k, w in at(beta).items()}, beta, "targets" if beta == 1 else "repetition limit")
+
+
+def mixture(sizes: dict[str, int], targets: dict[str, float], max_repeats: dict[str, int], budget: int | None = None) -> dict[str, int]:
+    """Tokens to draw from each source (blend)."""
+    return blend(sizes, targets, max_repeats, budget).draw
 
 
 def source_name(source: Column) -> Column:
@@ -89,25 +116,39 @@ def source_name(source: Column) -> Column:
     return F.translate(F.lower(F.trim(source)), "_ ", "--")
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, vocabulary: str = tokens.VOCABULARY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, source, epoch, n_tokens, order: the drawn set, one row for each use of a document.
+def mix(documents: DataFrame, targets: DataFrame | None, budget: int | None = None, seed: int = 0, vocabulary: str = tokens.VOCABULARY, text: str = "text", key: str = "doc_id", target_entropy: float | None = None, max_repeats: int = 4) -> DataFrame:
+    """doc_id, source, epoch, n_tokens, order: the drawn set, one row for each use of a document (mix_and_plan)."""
+    return mix_and_plan(documents, targets, budget, seed, vocabulary, text, key, target_entropy, max_repeats)[0]
+
+
+def mix_and_plan(documents: DataFrame, targets: DataFrame | None, budget: int | None = None, seed: int = 0, vocabulary: str = tokens.VOCABULARY, text: str = "text", key: str = "doc_id", target_entropy: float | None = None, max_repeats: int = 4) -> tuple[DataFrame, Mixture]:
+    """(doc_id, source, epoch, n_tokens, order: the drawn set, one row for each use of a document; its mixture).
 
     Sources are matched by source_name; documents of no named source and empty texts are not drawn.
     Epoch e of a source is one permutation of all its documents (by a hash of seed, epoch and key);
     only its last epoch is cut, at the first document that would exceed the source's tokens. order
-    shuffles the whole set. Targets (source, target_share, max_repeats) are a small table.
+    shuffles the whole set. Targets (source, target_share, max_repeats) are a small table; an empty one
+    draws nothing. None instead of a table means temperature mixing of all sources, to target_entropy or as even as
+    max_repeats allows; there may be at most SOURCES of them.
     """
-    goal = {r.s: (r.w, r.m) for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("m")).where("s is not null and w > 0").collect()}
     spark = documents.sparkSession
     empty = spark.createDataFrame([], f"{key} long, source string, epoch int, n_tokens long, order long")
-    if not goal:
-        return empty
-    docs = documents.select(key, source_name(F.col("source")).alias("source"), F.col(text).alias("__text")).where(F.col("source").isin(*goal))
+    docs = documents.select(key, source_name(F.col("source")).alias("source"), F.col(text).alias("__text")).where("source is not null")
+    goal = None
+    if targets is not None:
+        rows = targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("w"), F.coalesce("max_repeats", F.lit(1)).alias("m")).where("s is not null and w > 0").collect()
+        goal = {r.s: (r.w, r.m) for r in rows}
+        if not goal:
+            return empty, Mixture({}, 1.0, "nothing")
+        docs = docs.where(F.col("source").isin(*goal))
     docs = cut_lineage(docs.select(key, "source", F.coalesce(tokens.token_count("__text", vocabulary), F.lit(0)).alias("n_tokens")).where("n_tokens > 0"))
-    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    draw = mixture(sizes, {k: w for k, (w, _) in goal.items()}, {k: m for k, (_, m) in goal.items()}, budget)
+    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("n")).limit(SOURCES + 1).collect()}
+    if len(sizes) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: name them in targets")
+    made = blend(sizes, None if goal is None else {k: w for k, (w, _) in goal.items()}, {k: max_repeats for k in sizes} if goal is None else {k: m for k, (_, m) in goal.items()}, budget, target_entropy)
+    draw = made.draw
     if not draw:
-        return empty
+        return empty, made
     whole = {k: n // sizes[k] for k, n in draw.items()}
     rest = {k: n - whole[k] * sizes[k] for k, n in draw.items()}
 
@@ -126,14 +167,18 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     at_cut = last.where("__before <= __rest and __before + k > __rest").withColumn("__sum", F.col("__before") + F.sum("n_tokens").over(Window.partitionBy("source", "__block").orderBy("__place", key).rowsBetween(Window.unboundedPreceding, 0))).where("__sum <= __rest")
     cut = [df.select(key, "source", F.col("__whole").cast("int").alias("epoch"), "n_tokens") for df in (inside, at_cut)]
     drawn = full.unionByName(cut[0]).unionByName(cut[1])
-    return drawn.withColumn("order", F.xxhash64(F.lit(seed), "epoch", key))
+    return drawn.withColumn("order", F.xxhash64(F.lit(seed), "epoch", key)), made
+
 
+def mix_report(drawn: DataFrame, targets: DataFrame, made: Mixture | None = None) -> DataFrame:
+    """source, target_share, max_repeats, uses, tokens, actual_share, most_repeats; sources without a document included.
 
-def mix_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, uses, tokens, actual_share, most_repeats; sources without a document included."""
+    made adds the exponent, what it met and the entropy of the mixture.
+    """
     goal = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").distinct()
     got = drawn.groupBy("source").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_repeats"))
     g = goal.join(got, "source", "left").withColumns({"uses": F.coalesce("uses", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "most_repeats": F.coalesce("most_repeats", F.lit(0))})
     # one row for each source of the targets, which is a small table
     total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return g.withColumn("actual_share", F.round(F.col("tokens") / F.nullif(total, F.lit(0)), 6))
+    g = g.withColumn("actual_share", F.round(F.col("tokens") / F.nullif(total, F.lit(0)), 6))
+    return g if made is None else g.withColumns({"exponent": F.lit(float(made.exponent)), "met": F.lit(made.met), "entropy": F.lit(round(made.entropy, 6))})

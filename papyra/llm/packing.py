@@ -27,8 +27,8 @@ WINDOW = 0.004
 #: Combinations tried for each longest length, and sweeps of the solver.
 PER_LENGTH = 12
 SWEEPS = 60
-#: Ranks are counted in so many parts of each length, so that a frequent length is no hot group.
-PARTS = 64
+#: Ranks are counted in parts of each length of about so many items, so that a frequent length is no hot group.
+PART_ITEMS = 50_000
 
 PIECE = "array<struct<piece_index:int,start_token:long,end_token:long>>"
 
@@ -172,10 +172,11 @@ def pack(items: DataFrame, key: list[str], size: str, capacity: int) -> DataFram
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for sizes, ranks in batches:
             container, position = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int32)
-            at, n = ranks.to_numpy(), sizes.to_numpy()
-            for k in np.unique(n):
-                mine = n == k
-                s = shared.value[int(k)]
+            n, at = sizes.to_numpy(), ranks.to_numpy()
+            order = np.argsort(n, kind="stable")
+            edges = np.flatnonzero(np.diff(n[order], prepend=-1))
+            for mine in np.split(order, edges[1:]) if len(order) else []:
+                s = shared.value[int(n[mine[0]])]
                 i = np.searchsorted(s[:, 0], at[mine], side="right") - 1
                 step = at[mine] - s[i, 0]
                 container[mine] = s[i, 1] + step // s[i, 2]
@@ -183,7 +184,8 @@ def pack(items: DataFrame, key: list[str], size: str, capacity: int) -> DataFram
             yield pd.DataFrame({"container": container, "position": position})
 
     # rank among equal lengths, counted within parts and offset by the parts before
-    parted = base.where("__n > 0").withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
+    parts = max(16, max(histogram.values(), default=0) // PART_ITEMS)
+    parted = base.where("__n > 0").withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
     sums = parted.groupBy("__n", "__part").agg(F.count("*").alias("k"))
     before = sums.select("__n", "__part", F.coalesce(F.sum("k").over(Window.partitionBy("__n").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     ranked = parted.withColumn("__rank", F.row_number().over(Window.partitionBy("__n", "__part").orderBy(F.xxhash64(*key), *key)) - 1).join(before, ["__n", "__part"])

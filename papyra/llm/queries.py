@@ -72,7 +72,22 @@ def _p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(_p8_mix(spark, d), spark.read.parquet(f"{d}/mix_targets.parquet"))
+    targets = spark.read.parquet(f"{d}/mix_targets.parquet")
+    drawn, made = mixing.mix_and_plan(spark.read.parquet(f"{d}/documents.parquet"), targets)
+    return mixing.mix_report(drawn, targets, made)
+
+
+def _p8_natural(spark: SparkSession, d: str) -> DataFrame:
+    """Without targets: token shares of all sources to the smallest exponent that four repeats allow."""
+    drawn, made = mixing.mix_and_plan(spark.read.parquet(f"{d}/documents.parquet"), None)
+    g = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_repeats"))
+    return g.withColumns({"exponent": F.lit(float(made.exponent)), "met": F.lit(made.met), "entropy": F.lit(made.entropy)})
+
+
+def _p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """source, target_share, met: whether the drawn set reaches the target within a percentage point."""
+    report = _p8_report(spark, d)
+    return report.where("target_share > 0").select("source", "target_share", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("met"))
 
 
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +118,8 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_report": _p7_report,
     "p8_mix": _p8_mix,
     "p8_report": _p8_report,
+    "p8_natural": _p8_natural,
+    "p8_shares": _p8_shares,
     "p9_found": _p9_found,
     "p9_shares": _p9_shares,
     "p9_composition": _p9_composition,
@@ -130,4 +147,7 @@ SQL: dict[str, str] = {
         select distinct doc_id, section_index
         from t join (select distinct on (lower(trim(format))) lower(trim(format)) as format, max_chars from chunk_budgets) b using (format)
         where h + chars + n - 1 + (case when has_heading then 1 else 0 end) > max_chars""",
+    "p8_shares": """
+        select distinct translate(lower(trim(source)), '_ ', '--') as source, target_share, true as met
+        from mix_targets where source is not null and target_share > 0""",
 }

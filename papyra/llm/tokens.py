@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("PAPYRA_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the pattern that splits text before the merges of a rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer runs are encoded in parts, as the merge loop is quadratic in a run without a break.
-LONGEST_RUN = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -27,7 +25,7 @@ def encoder(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [[t for i in range(0, len(x), LONGEST_RUN) for t in enc.encode_ordinary(x[i : i + LONGEST_RUN])] for x in texts]
+        return lambda texts: [enc.encode_ordinary(x) for x in texts]
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 

@@ -110,3 +110,42 @@ def test_subjects(spark):
     assert right >= 118 and got[203] == {"farming", "sport"} and not {200, 201, 202} & set(got)
     assert subjects.document_subjects(docs.limit(0), lab, subs).count() == 0
     assert subjects.document_subjects(docs, lab.limit(0), subs).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(sizes=hs.dictionaries(hs.sampled_from("abcde"), hs.integers(1, 10_000), min_size=1), repeats=hs.integers(1, 6), budget=hs.integers(1, 60_000), share=hs.floats(0.05, 1))
+def test_exponents(sizes, repeats, budget, share):
+    """The exponent is the furthest that the limits allow: none is exceeded, and a step further would exceed one."""
+    limits = {k: repeats for k in sizes}
+    targets = {k: share ** i for i, k in enumerate(sorted(sizes))}
+    made = mixing.blend(sizes, targets, limits, budget)
+    assert all(n <= repeats * sizes[k] for k, n in made.draw.items()) and 0 <= made.exponent <= 1
+    free = mixing.blend(sizes, targets, limits)
+    assert free.met == "targets" and free.exponent == 1
+    total = sum(targets.values())
+    assert all(abs(free.draw[k] - w / total * sum(free.draw.values())) <= len(sizes) + 1 for k, w in targets.items())
+    even = mixing.blend(sizes, None, limits)
+    assert all(n <= repeats * sizes[k] for k, n in even.draw.items())
+    assert even.entropy >= mixing.entropy({k: n / sum(sizes.values()) for k, n in sizes.items()}) - 0.05
+
+
+def test_mix_without_targets(spark):
+    docs = spark.createDataFrame([(i, "some words of a text", "big" if i % 10 else "small") for i in range(1000)], "doc_id long, text string, source string")
+    drawn, made = mixing.mix_and_plan(docs, None, max_repeats=3)
+    uses = {r.source: r.n for r in drawn.groupBy("source").agg({"doc_id": "count"}).withColumnRenamed("count(doc_id)", "n").collect()}
+    assert made.met == "repetition limit" and 0 < made.exponent < 1 and abs(uses["small"] - 300) <= 2 and abs(uses["big"] - 700) <= 2
+
+
+def test_tokens_of_long_texts():
+    f = tokens.encoder(tokens.VOCABULARY)
+    text = "The cats' café costs 12,345 euros — 漢字 too. " * 10000
+    pieces = f([text[: len(text) // 10000]])[0]
+    assert len(text) > 400_000 and len(f([text])[0]) == len(f(["The cats' café costs 12,345 euros — 漢字 too."])[0]) * 10000 + 1
+    assert pieces and len(f(["x" * 500_000])[0]) <= 500_000
+
+
+def test_a_frequent_length_is_no_hot_group(spark):
+    """The ranks of equal sizes are counted in parts; every item still has a place of its own."""
+    df = spark.range(60_000).selectExpr("id as k", "10 as n")
+    got = packing.pack(df, ["k"], "n", 30)
+    assert got.select("container", "position").distinct().count() == 60_000 and got.agg({"container": "max"}).first()[0] == 19_999
