@@ -76,7 +76,7 @@ def describe_source(path: Column, size: Column) -> Column:
 
 
 def document_type(extension: Column) -> Column:
-    table = {e: kind for kind, extensions in fixed.DOCUMENT_TYPE.items() for e in extensions}
+    table = fixed.DOCUMENT_TYPE
     return F.coalesce(look_up(table, F.lower(extension)), F.lit("pdf"))
 
 

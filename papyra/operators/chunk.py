@@ -55,32 +55,47 @@ class Section:
         return "\n".join(out)
 
 
-def parse_sections(text: str) -> list[Section]:
-    """Tree of sections. Headings within fences are text; text before any heading is a section of level 0."""
-    top = Section(-1, "")
-    path, fence = [top], ""
-    for line in text.split("\n"):
-        mark = _FENCE.match(line)
-        heading = None if fence or mark else _HEADING.match(line)
-        if mark:
+def scan_headings(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(line, level, heading) of each heading outside fences; a fence ends at a line of its own sign, at least as long."""
+    found, fence = [], ""
+    for i, line in enumerate(lines):
+        if m := _FENCE.match(line):
+            sign = m.group(1)
             if not fence:
-                fence = mark.group(1)
-            elif mark.group(1)[0] == fence[0] and len(mark.group(1)) >= len(fence):
+                fence = sign
+            elif sign[0] == fence[0] and len(sign) >= len(fence):
                 fence = ""
-        if heading:
-            level = len(heading.group(1))
-            while path[-1].level == 0 or path[-1].level >= level:
-                path.pop()
-            section = Section(level, heading.group(2).strip())
-            path[-1].children.append(section)
-            path.append(section)
-            continue
-        if path[-1] is top:
-            intro = Section(0, "")
-            top.children.append(intro)
-            path.append(intro)
-        path[-1].lines.append(line)
-    return top.children
+        elif not fence and (m := _HEADING.match(line)):
+            found.append((i, len(m.group(1)), m.group(2).strip()))
+    return found
+
+
+def headings(texts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, line_index, heading_index, level, heading of every heading; null texts have none."""
+
+    @F.pandas_udf("array<struct<line_index:int,level:int,heading:string>>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([[{"line_index": i, "level": k, "heading": h} for i, k, h in scan_headings(x.split("\n"))] if isinstance(x, str) else [] for x in b])
+
+    return texts.select(key, F.posexplode(scan(text)).alias("heading_index", "x")).select(key, "x.line_index", "heading_index", "x.level", "x.heading")
+
+
+def parse_sections(text: str) -> list[Section]:
+    """Tree of sections: each owns the lines from its heading to the next; text before any heading is a section of level 0."""
+    lines = text.split("\n")
+    marks = scan_headings(lines)
+    ends = [i for i, _, _ in marks[1:]] + [len(lines)]
+    top: list[Section] = []
+    if not marks or marks[0][0] > 0:
+        top.append(Section(0, "", lines[: marks[0][0] if marks else len(lines)]))
+    above: list[Section] = []
+    for (start, level, heading), end in zip(marks, ends):
+        section = Section(level, heading, lines[start + 1 : end])
+        above = [x for x in above if x.level < level]
+        (above[-1].children if above else top).append(section)
+        above.append(section)
+    return top
 
 
 def pack(parts: list[str], budget: int, count: Counter, glue: str, oversized: Callable[[str], list[tuple[str, int]]] | None = None) -> list[tuple[str, int]]:

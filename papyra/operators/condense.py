@@ -40,9 +40,8 @@ def _call(client: Client, template: str) -> Callable:
 
 def _shorten(df: DataFrame, client: Client, template: str, budget: int, strategy: str, count: ch.Counter) -> DataFrame:
     """key, target, text shortened chunk by chunk, and the number of calls."""
-    parts = df.select("key", "target", F.posexplode(ch.chunks_column("text", budget, strategy, 0, count)).alias("i", "c"), F.lit(1).alias("calls"))
-    n = df.select("key", F.size(ch.chunks_column("text", budget, strategy, 0, count)).alias("n")) if strategy != "whole" else None
-    parts = parts.join(n, "key")
+    cut = df.select("key", "target", ch.chunks_column("text", budget, strategy, 0, count).alias("cs"))
+    parts = cut.select("key", "target", F.size("cs").alias("n"), F.posexplode("cs").alias("i", "c"))
     share = F.ceil(F.col("target") / F.col("n") * F.lit(3.0)).cast("int")
     done = parts.select("key", "target", "i", _call(client, template)(F.col("c.text"), share).alias("t"))
     return done.groupBy("key", "target").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "\n\n").alias("text"), F.count("*").alias("calls"))

@@ -16,8 +16,9 @@ PART = 1000
 
 
 def _in_parts(documents: DataFrame) -> DataFrame:
-    """The documents with the name of their source and the number of their part of it."""
-    return documents.withColumn("source", F.coalesce("source", F.lit("none"))).withColumn("number", F.floor(F.col("doc_id") / PART))
+    """The documents with the one spelling of their source's name and the number of their part of it."""
+    name = F.translate(F.lower(F.trim("source")), "_ ", "--")
+    return documents.withColumn("source", F.when(F.length(name) > 0, name).otherwise("none")).withColumn("number", F.floor(F.col("doc_id") / PART))
 
 
 def documents_as_units(documents: DataFrame) -> DataFrame:
@@ -55,15 +56,6 @@ def _report(by_lang: DataFrame, key: str) -> DataFrame:
     return g.select(key, "unit_count", "run_count", "characters", "tokens", score.alias("score"), tk.complexity_level(score).alias("level"), "dominant_language", F.round(cost, 6).alias("cost"))
 
 
-def doc_report(documents: DataFrame) -> DataFrame:
-    """Units, runs, complexity, language, tokens and cost of every part of a source (of whole sources: source_report).
-
-    One exchange by part serves numbering, runs and sums: unit sums are carried through the runs.
-    """
-    by_lang = _part_runs(documents).groupBy("doc_id", _known_lang().alias("lang")).agg(F.sum("n").alias("n"), F.count("*").alias("runs"), F.min("start").alias("start"), *[F.sum(k).alias(k) for k in ("chars", "tokens", "images", "ocr")])
-    return _report(by_lang, "doc_id").withColumnRenamed("doc_id", "part")
-
-
 def source_report(documents: DataFrame) -> DataFrame:
     """Units, runs, complexity, language, tokens and cost of every source, one row each.
 

@@ -75,16 +75,20 @@ def chunk_heading(t):
     return ch.chunk(t.documents, 120, "heading")
 
 
-@catalog.add("parse_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-    f AS (SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^\\s*(`{3,}|~{3,})') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM l)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS heading_index, length(regexp_extract(line, '^(#{1,6})\\s', 1)) AS level, trim(regexp_extract(line, '^#{1,6}\\s+(.+)$', 1)) AS heading FROM f WHERE regexp_matches(line, '^#{1,6}\\s+.+$') AND fences % 2 = 0""")
+# fences as a fold over the lines: one ends only at a line of its own sign, at least as long
+_FENCE = "regexp_extract(x.line, '^\\s*(`{3,}|~{3,})', 1)"
+_HEADINGS = f"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: {{'line': x, 'i': i, 'fence': '', 'found': CAST([] AS STRUCT(i BIGINT, line VARCHAR)[])}}) AS q FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, list_reduce(q, lambda a, x: {{'line': x.line, 'i': x.i, 'fence': CASE WHEN {_FENCE} = '' THEN a.fence WHEN a.fence = '' THEN {_FENCE} WHEN {_FENCE}[1] = a.fence[1] AND length({_FENCE}) >= length(a.fence) THEN '' ELSE a.fence END,
+        'found': CASE WHEN a.fence = '' AND {_FENCE} = '' AND regexp_matches(x.line, '^#{{1,6}}\\s+.+$') THEN list_append(a.found, {{'i': CAST(x.i AS BIGINT), 'line': x.line}}) ELSE a.found END}},
+        {{'line': '', 'i': CAST(0 AS BIGINT), 'fence': '', 'found': CAST([] AS STRUCT(i BIGINT, line VARCHAR)[])}}) AS a FROM l),
+    h AS (SELECT doc_id, unnest(a.found) AS x FROM f)
+    SELECT doc_id, CAST(x.i - 1 AS INT) AS line_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x.i) - 1 AS INT) AS heading_index, length(regexp_extract(x.line, '^(#{{1,6}})\\s', 1)) AS level, trim(regexp_extract(x.line, '^#{{1,6}}\\s+(.+)$', 1)) AS heading FROM h"""
+
+
+@catalog.add("parse_sections", _HEADINGS)
 def parse_sections(t):
-    """Headings outside fences, by lines: no Python needed for a flat list."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    f = lines.withColumn("fences", F.sum(F.when(F.col("line").rlike(r"^\s*(`{3,}|~{3,})"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    h = f.where(F.col("line").rlike(r"^#{1,6}\s+.+$") & (F.col("fences") % 2 == 0))
-    return h.select("doc_id", (F.row_number().over(w) - 1).cast("int").alias("heading_index"), F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1)).alias("heading"))
+    """The headings that the chunker sees, with their lines."""
+    return ch.headings(t.documents)
 
 
 @catalog.add("fit_check", f"SELECT doc_id, {_WC.format(x='text')} <= 100 AS fits FROM documents WHERE text IS NOT NULL")
@@ -94,18 +98,32 @@ def fit_check(t):
     return t.documents.where("text is not null").select("doc_id", (word_tokens(F.col("text")) <= 100).alias("fits"))
 
 
-@catalog.add("map_phase")
+_HALF = "array_to_string(w[1 : CAST(ceil(len(w) / 2.0::DOUBLE) AS INT)], ' ')"
+
+
+@catalog.add("map_phase", f"SELECT doc_id, chunk_index, {_HALF} AS summary FROM (SELECT doc_id, chunk_index, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM ({_PARAGRAPH}))")
 def map_phase(t):
     c = ch.chunk(t.documents, _BUDGET, "paragraph")
     return c.select("doc_id", "chunk_index", co._call(co.half_the_words, co.MAP_PROMPT)("text", F.lit(100)).alias("summary"))
 
 
+def _condensed(t):
+    return co.condense(t.documents.select("doc_id", "text"), F.lit(80), budget=200, strategy="paragraph")
+
+
 @catalog.add("condense")
 def condense(t):
-    return co.condense(t.documents.select("doc_id", "text"), F.lit(80), budget=200, strategy="paragraph")
+    return _condensed(t)
+
+
+# a text that fits passes through unchanged; of the others SQL can say what it was and that nothing grew
+_FITS = f"SELECT doc_id, coalesce(length(text), 0) AS chars_in, {_WC.format(x="coalesce(text, '')")} <= 80 AS passthrough, true AS consistent FROM documents"
 
 
-@catalog.add("condense_result", f"SELECT doc_id, length(text) AS chars_in, CASE WHEN length(text) = 0 THEN 1.0 ELSE round(least(length(text), 400)::DOUBLE / length(text), 6) END AS ratio FROM documents WHERE text IS NOT NULL")
+@catalog.add("condense_result", _FITS)
 def condense_result(t):
-    n = F.length("text")
-    return t.documents.where("text is not null").select("doc_id", n.alias("chars_in"), F.when(n == 0, 1.0).otherwise(F.round(F.least(n, F.lit(400)) / n, 6)).alias("ratio"))
+    """What condensation reports of each text, held against its own output: sizes, ratio, and that a text which fits is unchanged."""
+    c = _condensed(t)
+    ratio = F.when(F.col("chars_in") == 0, F.lit(1.0)).otherwise(F.round(F.length("text") / F.col("chars_in"), 6))
+    right = (F.col("chars_out") == F.length("text")) & (F.col("ratio") == ratio) & F.when(F.col("passthrough"), F.col("chars_out") == F.col("chars_in")).otherwise((F.col("calls") > 0) & (F.col("chars_out") < F.col("chars_in")))
+    return c.select("doc_id", "chars_in", "passthrough", right.alias("consistent"))

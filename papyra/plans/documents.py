@@ -15,38 +15,33 @@ from papyra.streaming import streams as st
 catalog = Catalog()
 WS = fixed.WS
 
-_U = f"""(SELECT coalesce(source, 'none') || '#' || CAST(doc_id // {rp.PART} AS VARCHAR) AS part, doc_id, coalesce(length(regexp_replace(text, '{WS}', '', 'g')), 0) AS c, lang, coalesce(CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT), 0) AS tokens FROM documents)"""
+_S = f"""(SELECT coalesce(nullif(translate(lower(trim(source)), '_ ', '--'), ''), 'none') AS source, doc_id, coalesce(length(regexp_replace(text, '{WS}', '', 'g')), 0) AS c, lang, coalesce(CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT), 0) AS tokens FROM documents)"""
 
-_S = f"""(SELECT coalesce(source, 'none') AS source, doc_id, coalesce(length(regexp_replace(text, '{WS}', '', 'g')), 0) AS c, lang, coalesce(CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT), 0) AS tokens FROM documents)"""
 
-
-@catalog.add("doc_report", f"""
-    WITH u AS (SELECT *, CASE WHEN c >= 20 THEN 'text-only' ELSE 'empty' END AS kind, row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1 AS i FROM {_U}),
-    k AS (SELECT *, kind || '|' || coalesce(lang, '') AS k FROM u), p AS (SELECT *, lag(k) OVER (PARTITION BY part ORDER BY i) AS pk FROM k),
-    l AS (SELECT part, arg_max(lang, (n, -first)) FILTER (lang IS NOT NULL) AS lang FROM (SELECT part, nullif(lang, 'und') AS lang, count(*) AS n, min(i) AS first FROM u GROUP BY 1, 2) GROUP BY part),
-    g AS (SELECT part, count(*) AS unit_count, count(*) FILTER (pk IS NULL OR k <> pk) AS run_count, sum(c) AS characters, sum(tokens) AS tokens FROM p GROUP BY part),
-    s AS (SELECT *, CAST(least(100, floor(2.0 * unit_count + characters / 1000.0::DOUBLE + 0.5)) AS INT) AS score FROM g)
-    SELECT s.part, unit_count, run_count, characters, tokens, score, CASE WHEN score < 20 THEN 'low' WHEN score < 50 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very_high' END AS level, coalesce(l.lang, 'und') AS dominant_language,
-        round(tokens / 1e6::DOUBLE * 1.0 + tokens / 1e6::DOUBLE * 4.0, 6) AS cost FROM s JOIN l ON s.part = l.part""")
-def doc_report(t):
-    return rp.doc_report(t.documents)
-
-
-@catalog.add("source_report", f"""
+_REPORT = f"""
     WITH u AS (SELECT *, CASE WHEN c >= 20 THEN 'text-only' ELSE 'empty' END AS kind, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM {_S}),
     k AS (SELECT *, kind || '|' || coalesce(lang, '') AS k FROM u), p AS (SELECT *, lag(k) OVER (PARTITION BY source ORDER BY i) AS pk FROM k),
     l AS (SELECT source, arg_max(lang, (n, -first)) FILTER (lang IS NOT NULL) AS lang FROM (SELECT source, nullif(lang, 'und') AS lang, count(*) AS n, min(i) AS first FROM u GROUP BY 1, 2) GROUP BY source),
     g AS (SELECT source, count(*) AS unit_count, count(*) FILTER (pk IS NULL OR k <> pk) AS run_count, sum(c) AS characters, sum(tokens) AS tokens FROM p GROUP BY source),
     s AS (SELECT *, CAST(least(100, floor(2.0 * unit_count + characters / 1000.0::DOUBLE + 0.5)) AS INT) AS score FROM g)
     SELECT s.source, unit_count, run_count, characters, tokens, score, CASE WHEN score < 20 THEN 'low' WHEN score < 50 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'very_high' END AS level, coalesce(l.lang, 'und') AS dominant_language,
-        round(tokens / 1e6::DOUBLE * 1.0 + tokens / 1e6::DOUBLE * 4.0, 6) AS cost FROM s JOIN l ON s.source = l.source""")
+        round(tokens / 1e6::DOUBLE * 1.0 + tokens / 1e6::DOUBLE * 4.0, 6) AS cost FROM s JOIN l ON s.source = l.source"""
+
+
+@catalog.add("doc_report", _REPORT)
+def doc_report(t):
+    return rp.source_report(t.documents)
+
+
+@catalog.add("source_report", _REPORT)
 def source_report(t):
+    """The flagship under its other name."""
     return rp.source_report(t.documents)
 
 
 @catalog.add("estimate_doc_cost", "SELECT doc_id, count(*) AS pages, sum(CAST(ceil(char_count / 3.5::DOUBLE) AS BIGINT)) AS tokens, round(sum(CAST(ceil(char_count / 3.5::DOUBLE) AS BIGINT)) / 1e6::DOUBLE * 5.0, 9) AS cost FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, coalesce(char_count, 0) AS char_count FROM pdf_pages) GROUP BY doc_id")
 def estimate_doc_cost(t):
-    p = t.pdf_pages.dropDuplicates(["doc_id", "page_index"])
+    p = t.pdf_pages
     n = tk.ceil_long(F.coalesce("char_count", F.lit(0)) / F.lit(3.5))
     return p.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(n).alias("tokens")).withColumn("cost", F.round(F.col("tokens") / F.lit(1e6) * 5.0, 9))
 
@@ -162,16 +157,29 @@ def stream_usage(t):
     return st.latest(st.run_available(stream, "update", "usage"), ["experiment"])
 
 
-@catalog.add("stateful_continuity")
+# what goes before a page is the end of the output before it, which is empty only until the first page with text
+_ECHO = """WITH p AS (SELECT doc_id, page_index, coalesce(text, '') AS text, coalesce(sum(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS has FROM ocr_pages),
+    o AS (SELECT doc_id, page_index, CASE WHEN has THEN '… ' ELSE '' END || text AS output FROM p)
+    SELECT doc_id, page_index, coalesce(right(lag(output) OVER (PARTITION BY doc_id ORDER BY page_index), 200), '') AS context, output FROM o"""
+
+
+@catalog.add("stateful_continuity", _ECHO)
 def stateful_continuity(t):
-    return st.continuity_batch(t.ocr_pages.dropDuplicates(["doc_id", "page_index"]), echo_tail)
+    return st.continuity_batch(t.ocr_pages, echo_tail)
 
 
-@catalog.add("stream_continuity")
+@catalog.add("stream_continuity", _ECHO)
 def stream_continuity(t):
     return st.run_available(st.continuity(st.read_table_stream(t.spark, t.directory, "ocr_pages"), echo_tail), "append", "continuity").drop("batch")
 
 
-@catalog.add("page_stream", "SELECT doc_id, page_index, 0 AS step, 'unit-start' AS event_type, NULL AS chars FROM ocr_pages UNION ALL SELECT doc_id, page_index, 1, CASE WHEN text IS NULL THEN 'error' ELSE 'content' END, length(text) FROM ocr_pages UNION ALL SELECT doc_id, page_index, 2, 'unit-done', NULL FROM ocr_pages")
+@catalog.add("page_stream", """WITH f AS (SELECT *, min(CASE WHEN text IS NULL THEN page_index END) OVER (PARTITION BY doc_id) AS failed FROM ocr_pages), p AS (SELECT * FROM f WHERE failed IS NULL OR page_index <= failed)
+    SELECT doc_id, page_index, 0 AS step, 'unit-start' AS event_type, NULL AS chars FROM p UNION ALL SELECT doc_id, page_index, 1, CASE WHEN text IS NULL THEN 'error' ELSE 'content' END, length(text) FROM p UNION ALL SELECT doc_id, page_index, 2, 'unit-done', NULL FROM p WHERE text IS NOT NULL""")
 def page_stream(t):
     return st.page_events(t.ocr_pages)
+
+
+@catalog.add("vision_stream", """SELECT doc_id, page_index, 0 AS step, 'unit-start' AS event_type, NULL AS chars FROM ocr_pages UNION ALL SELECT doc_id, page_index, 1, CASE WHEN text IS NULL THEN 'error' ELSE 'content' END, length(text) FROM ocr_pages UNION ALL SELECT doc_id, page_index, 2, 'unit-done', NULL FROM ocr_pages WHERE text IS NOT NULL""")
+def vision_stream(t):
+    """The same events where a failed unit doesn't stop its document."""
+    return st.page_events(t.ocr_pages, abort=False)

@@ -9,6 +9,7 @@ from papyra.functions import language as la
 from papyra.functions.errors import error_class, pairs_of
 from papyra.operators import calls as ca
 from papyra.operators import runs as op
+from papyra.plans.journal import _CATEGORY
 from papyra.plans.registry import Catalog
 from papyra.plans.runs import _UNITS, _units
 from papyra.sources import files as fl
@@ -78,7 +79,7 @@ def complexity_attrs(t):
 
 @catalog.add("counter", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN error IS NULL THEN 'none' ELSE 'some' END AS category FROM (SELECT DISTINCT ON (id) * FROM journal)) GROUP BY category")
 def counter(t):
-    return t.journal.dropDuplicates(["id"]).groupBy(F.when(F.col("error").isNull(), "none").otherwise("some").alias("category")).agg(F.count("*").alias("n"))
+    return t.journal.groupBy(F.when(F.col("error").isNull(), "none").otherwise("some").alias("category")).agg(F.count("*").alias("n"))
 
 
 @catalog.add("sort_units", f"SELECT doc_id, list(unit_index ORDER BY unit_index) AS units FROM {_UNITS} GROUP BY doc_id")
@@ -89,19 +90,19 @@ def sort_units(t):
 @catalog.add("section_id", "SELECT doc_id, section_index, CAST(sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY section_index) AS INT) AS section_id FROM (SELECT DISTINCT ON (doc_id, section_index) * FROM sections)")
 def section_id(t):
     w = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, 0)
-    return t.sections.dropDuplicates(["doc_id", "section_index"]).select("doc_id", "section_index", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(w).cast("int").alias("section_id"))
+    return t.sections.select("doc_id", "section_index", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(w).cast("int").alias("section_id"))
 
 
 @catalog.add("office_document", "SELECT doc_id, count(*) AS units, min(format) AS format, sum(len(coalesce(lines, []))) AS lines, count(*) FILTER (heading IS NOT NULL AND heading <> '') AS headings FROM (SELECT DISTINCT ON (doc_id, section_index) * FROM sections) GROUP BY doc_id")
 def office_document(t):
-    s = t.sections.dropDuplicates(["doc_id", "section_index"])
+    s = t.sections
     return s.groupBy("doc_id").agg(F.count("*").alias("units"), F.min("format").alias("format"), F.sum(F.size(F.coalesce("lines", F.array().cast("array<string>")))).alias("lines"), F.count_if(F.length("heading") > 0).alias("headings"))
 
 
 @catalog.add("extract_by_run", "SELECT r.doc_id, r.run_index, count(p.page_index) AS pages, sum(length(p.text_sample)) AS characters FROM (SELECT DISTINCT ON (doc_id, run_index) * FROM runs) r JOIN (SELECT DISTINCT ON (doc_id, page_index) * FROM pdf_pages) p ON r.doc_id = p.doc_id AND list_contains(r.page_indices, p.page_index) GROUP BY 1, 2")
 def extract_by_run(t):
-    runs = op.first_delivery(t.runs, ["doc_id", "run_index"]).select("doc_id", "run_index", F.explode("page_indices").alias("page_index"))
-    pages = op.first_delivery(t.pdf_pages, ["doc_id", "page_index"]).select("doc_id", "page_index", "text_sample")
+    runs = t.runs.select("doc_id", "run_index", F.explode("page_indices").alias("page_index"))
+    pages = t.pdf_pages.select("doc_id", "page_index", "text_sample")
     return runs.join(pages, ["doc_id", "page_index"]).groupBy("doc_id", "run_index").agg(F.count("*").alias("pages"), F.sum(F.length("text_sample")).alias("characters"))
 
 
@@ -130,12 +131,17 @@ def flaky(context: str, text: str) -> str:
         raise RuntimeError("429 rate limit")
     if len(text) % 13 == 0:
         raise RuntimeError("400 bad request")
-    return text.upper()
+    return f"<{text}>"
 
 
-@catalog.add("llm_format")
+# a client that fails by the length of a page: pages of a multiple of 11 ask to come again and fail again, of 13 fail at once
+_FLAKY = """SELECT doc_id, page_index, CASE WHEN n % 11 <> 0 AND n % 13 <> 0 THEN '<' || text || '>' END AS output, CASE WHEN n % 11 = 0 THEN 2 ELSE 1 END AS attempts,
+    CASE WHEN n % 11 = 0 THEN 'RuntimeError: 429 rate limit' WHEN n % 13 = 0 THEN 'RuntimeError: 400 bad request' END AS error, n % 11 = 0 AS retryable FROM (SELECT doc_id, page_index, coalesce(text, '') AS text, coalesce(length(text), 0) AS n FROM ocr_pages)"""
+
+
+@catalog.add("llm_format", _FLAKY)
 def llm_format(t):
-    return ca.format_pages(t.ocr_pages.dropDuplicates(["doc_id", "page_index"]), flaky, retries=1, wait=False)
+    return ca.format_pages(t.ocr_pages, flaky, retries=1, wait=False)
 
 
 @catalog.add("audit_log", "SELECT id, 'model.call' AS event, CASE WHEN error IS NULL THEN 'success' ELSE 'failure' END AS outcome, ts FROM journal")
@@ -143,6 +149,6 @@ def audit_log(t):
     return t.journal.select("id", F.lit("model.call").alias("event"), F.when(F.col("error").isNull(), "success").otherwise("failure").alias("outcome"), "ts")
 
 
-@catalog.add("error_counts", None)
+@catalog.add("error_counts", f"SELECT category, count(*) AS n FROM (SELECT {_CATEGORY} AS category FROM journal WHERE error IS NOT NULL) GROUP BY category")
 def error_counts(t):
-    return t.journal.dropDuplicates(["id"]).where("error is not null").groupBy(error_class(F.col("error"))["category"].alias("category")).agg(F.count("*").alias("n"))
+    return t.journal.where("error is not null").groupBy(error_class(F.col("error"))["category"].alias("category")).agg(F.count("*").alias("n"))

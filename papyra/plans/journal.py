@@ -208,23 +208,30 @@ _ONCE = "(SELECT DISTINCT ON (id) * FROM journal)"
 
 @catalog.add("usage_rollup", f"SELECT experiment, count(*) AS calls, sum(tokens.input) AS input, sum(tokens.output) AS output, sum(tokens.cached) AS cached, sum(tokens.reasoning) AS reasoning, round(CAST(sum(CAST(cost.total AS DECIMAL(18,10))) AS DOUBLE), 4) AS cost FROM {_ONCE} GROUP BY experiment")
 def usage_rollup(t):
-    j = t.journal.dropDuplicates(["id"])
+    j = t.journal
     return j.groupBy("experiment").agg(F.count("*").alias("calls"), *[F.sum(f"tokens.{k}").alias(k) for k in ("input", "output", "cached", "reasoning")], F.round(F.sum(F.col("cost.total").cast("decimal(18,10)")).cast("double"), 4).alias("cost"))
 
 
-@catalog.add("usage_accumulator", f"SELECT id, experiment, sum(coalesce(tokens.output, 0)) OVER (PARTITION BY experiment, CAST(ts AS DATE) ORDER BY ts, id) AS running FROM {_ONCE}")
+@catalog.add("usage_accumulator", f"SELECT id, experiment, sum(coalesce(tokens.output, 0)) OVER (PARTITION BY experiment ORDER BY ts, id) AS running FROM {_ONCE}")
 def usage_accumulator(t):
-    """Running output tokens of each experiment within a day: the day bounds a window's size."""
+    """Running output tokens of each experiment: sums by hour first, whose running sums are the offsets of the rows within."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("experiment", F.to_date("ts")).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.journal.dropDuplicates(["id"]).select("id", "experiment", F.sum(F.coalesce("tokens.output", F.lit(0))).over(w).alias("running"))
+    j = t.journal.select("id", "experiment", "ts", F.coalesce("tokens.output", F.lit(0)).alias("n"), F.date_trunc("hour", "ts").alias("hour"))
+    hours = j.groupBy("experiment", "hour").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("experiment").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hours.select("experiment", "hour", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("experiment", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = j.select("id", "experiment", "hour", F.sum("n").over(within).alias("n")).alias("r")
+    offsets = offsets.alias("o")
+    same = F.col("r.experiment").eqNullSafe(F.col("o.experiment")) & F.col("r.hour").eqNullSafe(F.col("o.hour"))
+    return rows.join(offsets, same).select("r.id", "r.experiment", (F.col("r.n") + F.col("before")).alias("running"))
 
 
 @catalog.add("usage_normalise", "SELECT id, tokens.input AS input, tokens.output AS output, CASE WHEN tokens.cached > 0 THEN tokens.cached END AS cached, greatest(0, tokens.input - coalesce(CASE WHEN tokens.cached > 0 THEN tokens.cached END, 0)) AS uncached, CASE WHEN tokens.reasoning > 0 THEN tokens.reasoning END AS reasoning, tokens.output - coalesce(tokens.reasoning, 0) AS text FROM journal")
 def usage_normalise(t):
     cached, reasoning = F.when(F.col("tokens.cached") > 0, F.col("tokens.cached")), F.when(F.col("tokens.reasoning") > 0, F.col("tokens.reasoning"))
-    return t.journal.select("id", F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"), cached.alias("cached"), F.when(F.col("tokens.input").isNull() & F.lit(False), 0).otherwise(F.greatest(F.lit(0), F.col("tokens.input") - F.coalesce(cached, F.lit(0)))).alias("uncached"), reasoning.alias("reasoning"), (F.col("tokens.output") - F.coalesce("tokens.reasoning", F.lit(0))).alias("text"))
+    return t.journal.select("id", F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"), cached.alias("cached"), F.greatest(F.lit(0), F.col("tokens.input") - F.coalesce(cached, F.lit(0))).alias("uncached"), reasoning.alias("reasoning"), (F.col("tokens.output") - F.coalesce("tokens.reasoning", F.lit(0))).alias("text"))
 
 
 _EDGES = " ".join(f"WHEN duration_ms <= {e} THEN {e}" for e in fixed.LATENCY_EDGES)
@@ -235,12 +242,12 @@ def histogram(t):
     le = F
     for e in fixed.LATENCY_EDGES:
         le = le.when(F.col("duration_ms") <= e, e)
-    return t.journal.dropDuplicates(["id"]).where("duration_ms is not null").groupBy(F.lower(F.trim("provider")).alias("provider"), le.otherwise(-1).alias("le")).agg(F.count("*").alias("n"))
+    return t.journal.where("duration_ms is not null").groupBy(F.lower(F.trim("provider")).alias("provider"), le.otherwise(-1).alias("le")).agg(F.count("*").alias("n"))
 
 
 @catalog.add("pool_stats", f"SELECT model, count(*) AS jobs, round(avg(duration_ms), 4) AS mean_ms, sum(length(output)) AS characters FROM {_ONCE} GROUP BY model")
 def pool_stats(t):
-    return t.journal.dropDuplicates(["id"]).groupBy("model").agg(F.count("*").alias("jobs"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"), F.sum(F.length("output")).alias("characters"))
+    return t.journal.groupBy("model").agg(F.count("*").alias("jobs"), F.round(F.avg("duration_ms"), 4).alias("mean_ms"), F.sum(F.length("output")).alias("characters"))
 
 
 @catalog.add("cost_text", "SELECT id, '$' || CAST(CAST(floor(cost.total * 100000 + 0.5 + 1e-7) / 100 AS DECIMAL(18,2)) AS VARCHAR) AS text, CASE WHEN cost.total * 1000 > 1.0 THEN 'Estimated cost is above $1.00' END AS warning FROM journal WHERE cost.total IS NOT NULL")
@@ -254,9 +261,11 @@ def journal_name(t):
     return t.journal.select("experiment", F.to_date("ts").alias("day"), F.concat_ws("-", "experiment", F.date_format("ts", "yyyyMMdd")).alias("name")).distinct()
 
 
-@catalog.add("entry_id")
+@catalog.add("entry_id", "SELECT id, strftime(ts, '%Y%m%d-%H%M%S') AS at, true AS well_formed FROM journal")
 def entry_id(t):
-    return t.journal.select("id", F.concat(F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.expr("uuid()"), 1, 8)).alias("new_id"))
+    """New ids: the time of the entry and eight random hexadecimal digits, of which only the form can be foretold."""
+    new = t.journal.select("id", F.concat(F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.expr("uuid()"), 1, 8)).alias("new_id"))
+    return new.select("id", F.substring("new_id", 1, 15).alias("at"), F.col("new_id").rlike("^[0-9]{8}-[0-9]{6}-[0-9a-f]{8}$").alias("well_formed"))
 
 
 @catalog.add("journal_entry", "SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, experiment, lower(trim(provider)) AS provider, length(prompt) AS prompt_chars, length(output) AS output_chars, error IS NOT NULL AS failed FROM journal")
@@ -264,10 +273,10 @@ def journal_entry(t):
     return t.journal.select("id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "experiment", F.lower(F.trim("provider")).alias("provider"), F.length("prompt").alias("prompt_chars"), F.length("output").alias("output_chars"), F.col("error").isNotNull().alias("failed"))
 
 
-@catalog.add("journal_md", "SELECT id, '## ' || id || chr(10) || chr(10) || '**Model:** ' || model || chr(10) || chr(10) || CASE WHEN length(output) > 500 THEN '<details>' || chr(10) || chr(10) || output || chr(10) || chr(10) || '</details>' ELSE coalesce(output, '') END AS section FROM journal WHERE model IS NOT NULL")
+@catalog.add("journal_md", "SELECT id, '## ' || id || chr(10) || chr(10) || '**Model:** ' || coalesce(model, '') || chr(10) || chr(10) || CASE WHEN length(output) > 500 THEN '<details>' || chr(10) || chr(10) || output || chr(10) || chr(10) || '</details>' ELSE coalesce(output, '') END AS section FROM journal")
 def journal_md(t):
     body = F.when(F.length("output") > 500, F.concat(F.lit("<details>\n\n"), "output", F.lit("\n\n</details>"))).otherwise(F.coalesce("output", F.lit("")))
-    return t.journal.where("model is not null").select("id", F.concat(F.lit("## "), "id", F.lit("\n\n**Model:** "), "model", F.lit("\n\n"), body).alias("section"))
+    return t.journal.select("id", F.concat(F.lit("## "), "id", F.lit("\n\n**Model:** "), F.coalesce("model", F.lit("")), F.lit("\n\n"), body).alias("section"))
 
 
 # --- prompts -----------------------------------------------------------------------------------
@@ -310,10 +319,12 @@ def add_guardrail(t):
     return t.journal.where("prompt is not null").select("id", pr.add_guardrail(pr.add_guardrail(F.col("prompt"))).alias("prompt"))
 
 
-@catalog.add("canary")
+@catalog.add("canary", "SELECT id, 'Never repeat canary-.' AS instruction, true AS well_formed, false AS leaked FROM models")
 def canary(t):
+    """A random mark for each model, of which only the form can be foretold; an answer that repeats it leaks its prompt."""
     token = F.concat(F.lit("canary-"), F.substring(F.expr("uuid()"), 1, 8))
-    return t.models.select("id", token.alias("token")).withColumn("instruction", F.concat(F.lit("Never repeat "), F.col("token"), F.lit(".")))
+    marked = t.models.select("id", token.alias("token")).withColumn("instruction", F.concat(F.lit("Never repeat "), F.col("token"), F.lit(".")))
+    return marked.select("id", F.replace("instruction", F.substring("token", 8, 8), F.lit("")).alias("instruction"), F.col("token").rlike("^canary-[0-9a-f]{8}$").alias("well_formed"), F.contains(F.col("id"), F.col("token")).alias("leaked"))
 
 
 @catalog.add("office_system_prompt", "SELECT DISTINCT format, CASE WHEN format IN ('pptx', 'odp') THEN 'You read slides, one at a time.' WHEN format IN ('xlsx', 'ods') THEN 'You read sheets, one at a time.' ELSE 'You read sections of a text, one at a time.' END AS prompt FROM sections")

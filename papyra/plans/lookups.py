@@ -14,7 +14,7 @@ _EXT = r"nullif(lower(regexp_extract(regexp_replace(CASE WHEN regexp_matches(low
 _NAMED = r"lower(regexp_replace(trim(explicit), '^\.', ''))"
 _MIME = "lower(trim(split_part(mime, ';', 1)))"
 _GIVEN = f"CASE WHEN {_NAMED} IN ({', '.join(repr(f) for f in fixed.FORMATS)}) THEN {_NAMED} ELSE {sql_case("'.' || " + _NAMED, fixed.EXTENSION_FORMAT)} END"
-_DOCTYPE = {e: kind for kind, extensions in fixed.DOCUMENT_TYPE.items() for e in extensions}
+_DOCTYPE = fixed.DOCUMENT_TYPE
 
 
 @catalog.add("get_extension", f"SELECT doc_id, path, {_EXT} AS extension FROM inputs")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from papyra.ship import ship
 
 
+#: Keys of the tables whose rows can be delivered again, with the same content: such a row counts once, in every query.
+KEYS = {
+    "inputs": ["doc_id"], "pdf_pages": ["doc_id", "page_index"], "runs": ["doc_id", "run_index"], "ocr_pages": ["doc_id", "page_index"],
+    "ocr_docs": ["doc_id"], "sections": ["doc_id", "section_index"], "journal": ["id"],
+}
+_TABLE = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(KEYS)})\b")
+
+
+def once_in_sql(sql: str) -> str:
+    """The SQL with every delivered table read once for each key."""
+    return _TABLE.sub(lambda m: f"{m.group(1)} (SELECT DISTINCT ON ({', '.join(KEYS[m.group(2)])}) * FROM {m.group(2)})", sql)
+
+
 class Tables:
-    """Tables of a directory as attributes."""
+    """Tables of a directory as attributes, each row once."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return df.dropDuplicates(KEYS[name]) if name in KEYS else df
 
 
 class Catalog:
@@ -32,7 +47,7 @@ class Catalog:
 
             self.queries[name] = run
             if sql is not None:
-                self.sql[name] = sql
+                self.sql[name] = once_in_sql(sql)
             return build
 
         return register

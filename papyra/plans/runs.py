@@ -16,7 +16,7 @@ _UNITS = f"""(SELECT doc_id, page_index AS unit_index, {sql_case('kind', fixed.P
 
 
 def _units(t):
-    p = op.first_delivery(t.pdf_pages, ["doc_id", "page_index"])
+    p = t.pdf_pages
     return p.select("doc_id", F.col("page_index").alias("unit_index"), cl.content_kind(F.col("kind")).alias("kind"), "char_count", "language", "paper_key", "orientation", "error", "text_sample")
 
 
@@ -71,7 +71,7 @@ _RUNS = f"(SELECT doc_id, run_index, {sql_case('kind', fixed.PAGE_KIND, "'unknow
 
 
 def _runs(t):
-    r = op.first_delivery(t.runs, ["doc_id", "run_index"])
+    r = t.runs
     return r.select("doc_id", "run_index", cl.content_kind(F.col("kind")).alias("kind"), "language", F.col("page_indices").alias("unit_indices"), "char_count")
 
 
@@ -144,7 +144,7 @@ def complexity(t):
 @catalog.add("concat_units", f"""SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_index) FILTER (length(regexp_replace(text, '{fixed.WS}', '', 'g')) > 0), '') AS text, count(*) AS unit_count
     FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, text FROM ocr_pages) GROUP BY doc_id""")
 def concat_units(t):
-    pages = op.first_delivery(t.ocr_pages, ["doc_id", "page_index"]).select("doc_id", F.col("page_index").alias("unit_index"), "text")
+    pages = t.ocr_pages.select("doc_id", F.col("page_index").alias("unit_index"), "text")
     return op.concat_units(pages)
 
 
@@ -170,8 +170,8 @@ def distinct_languages(t):
 
 @catalog.add("union_errors", "SELECT doc_id, error.unit_index AS unit_index, error.phase AS phase, error.message AS message FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, error FROM pdf_pages) WHERE error IS NOT NULL UNION ALL SELECT doc_id, e.unit_index, e.phase, e.message FROM (SELECT doc_id, unnest(errors) AS e FROM (SELECT DISTINCT ON (doc_id) doc_id, errors FROM ocr_docs))")
 def union_errors(t):
-    a = op.first_delivery(t.pdf_pages, ["doc_id", "page_index"]).where("error is not null").select("doc_id", "error.*")
-    b = op.first_delivery(t.ocr_docs, ["doc_id"]).select("doc_id", F.explode("errors").alias("e")).select("doc_id", "e.*")
+    a = t.pdf_pages.where("error is not null").select("doc_id", "error.*")
+    b = t.ocr_docs.select("doc_id", F.explode("errors").alias("e")).select("doc_id", "e.*")
     return a.unionByName(b)
 
 
@@ -190,8 +190,8 @@ def pdf_document(t):
     """Text of each scanned run, with the OCR engine's code of its language."""
     from papyra.functions.lookup import ocr_language
 
-    runs = op.first_delivery(t.runs, ["doc_id", "run_index"]).where("kind = 'scanned-image'")
-    pages = op.first_delivery(t.ocr_pages, ["doc_id", "page_index"]).where("text is not null").select("doc_id", "page_index", "text")
+    runs = t.runs.where("kind = 'scanned-image'")
+    pages = t.ocr_pages.where("text is not null").select("doc_id", "page_index", "text")
     lines = runs.select("doc_id", "run_index", F.explode("page_indices").alias("page_index")).join(pages, ["doc_id", "page_index"])
     text = lines.groupBy("doc_id", "run_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("text"))
     return runs.select("doc_id", "run_index", "run_key", "language", ocr_language(F.col("language")).alias("ocr_code")).join(text, ["doc_id", "run_index"], "left")

@@ -13,42 +13,43 @@ _WS = fixed.WS
 
 
 def _sheet(t):
-    """A small sheet for each customer segment and nation: rows of name, balance, segment, with odd cells."""
-    c = t.customer
-    row = F.array(F.col("c_name"), F.round("c_acctbal", 2).cast("decimal(18,2)").cast("string"), F.concat(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 7 == 0, ', "x|y"\n').otherwise("")), F.when(F.col("c_custkey") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("c_custkey").cast("string")))
-    g = c.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
-    return g.select("c_nationkey", F.concat(F.array(F.array(F.lit("name"), F.lit("balance"), F.lit("segment"), F.lit(None).cast("string"))), "rows").alias("rows"))
+    """A sheet for each order, of its few lines: rows of part, price, status, with odd cells."""
+    c = t.lineitem
+    odd = F.col("l_partkey") % 7 == 0
+    row = F.array(F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.round("l_extendedprice", 2).cast("decimal(18,2)").cast("string"), F.concat(F.col("l_linestatus"), F.when(odd, ', "x|y"\n').otherwise("")), F.when(F.col("l_partkey") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("l_partkey").cast("string")))
+    g = c.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_linestatus", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return g.select("l_orderkey", F.concat(F.array(F.array(F.lit("name"), F.lit("balance"), F.lit("segment"), F.lit(None).cast("string"))), "rows").alias("rows"))
 
 
-_SHEET = """(SELECT c_nationkey, list_concat([['name', 'balance', 'segment', NULL]], list([c_name, CAST(CAST(round(c_acctbal, 2) AS DECIMAL(18,2)) AS VARCHAR), c_mktsegment || CASE WHEN c_custkey % 7 = 0 THEN ', "x|y"' || chr(10) ELSE '' END, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END] ORDER BY c_custkey)) AS rows FROM customer GROUP BY c_nationkey)"""
+_SHEET = """(SELECT l_orderkey, list_concat([['name', 'balance', 'segment', NULL]], list(['part ' || l_partkey, CAST(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2)) AS VARCHAR), l_linestatus || CASE WHEN l_partkey % 7 = 0 THEN ', "x|y"' || chr(10) ELSE '' END, CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_partkey AS VARCHAR) END] ORDER BY l_linenumber, l_partkey, l_extendedprice, l_linestatus)) AS rows FROM lineitem GROUP BY l_orderkey)"""
 _CSV = """CASE WHEN contains(coalesce({c}, ''), ',') OR regexp_matches(coalesce({c}, ''), '["\\n\\r]') THEN '"' || replace(coalesce({c}, ''), '"', '""') || '"' ELSE coalesce({c}, '') END"""
 _TSV = "regexp_replace(replace(coalesce({c}, ''), chr(9), ' '), '\\r\\n|\\n|\\r', '\\\\n', 'g')"
 _MD = "regexp_replace(replace(replace(coalesce({c}, ''), '|', '\\|'), chr(10), ' '), '^" + _WS + "+|" + _WS + "+$', '', 'g')"
 
 
-@catalog.add("sheet_csv", f"SELECT c_nationkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: {_CSV.format(c='c')}), ',')), chr(10)) AS csv FROM {_SHEET}")
+@catalog.add("sheet_csv", f"SELECT l_orderkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: {_CSV.format(c='c')}), ',')), chr(10)) AS csv FROM {_SHEET}")
 def sheet_csv(t):
-    return _sheet(t).select("c_nationkey", ce.sheet_csv(F.col("rows")).alias("csv"))
+    return _sheet(t).select("l_orderkey", ce.sheet_csv(F.col("rows")).alias("csv"))
 
 
-@catalog.add("sheet_tsv", f"SELECT c_nationkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: {_TSV.format(c='c')}), chr(9))), chr(10)) AS tsv FROM {_SHEET}")
+@catalog.add("sheet_tsv", f"SELECT l_orderkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: {_TSV.format(c='c')}), chr(9))), chr(10)) AS tsv FROM {_SHEET}")
 def sheet_tsv(t):
-    return _sheet(t).select("c_nationkey", ce.sheet_tsv(F.col("rows")).alias("tsv"))
+    return _sheet(t).select("l_orderkey", ce.sheet_tsv(F.col("rows")).alias("tsv"))
 
 
-@catalog.add("sheet_md", f"SELECT c_nationkey, array_to_string(list_concat(['| ' || array_to_string(list_transform(rows[1], lambda c: {_MD.replace('{c}', 'c')}), ' | ') || ' |', '| :--- | :--- | :--- | :--- |'], list_transform(rows[2:], lambda r: '| ' || array_to_string(list_transform(r, lambda c: {_MD.replace('{c}', 'c')}), ' | ') || ' |')), chr(10)) AS markdown FROM {_SHEET}")
+@catalog.add("sheet_md", f"SELECT l_orderkey, array_to_string(list_concat(['| ' || array_to_string(list_transform(rows[1], lambda c: {_MD.replace('{c}', 'c')}), ' | ') || ' |', '| :--- | :--- | :--- | :--- |'], list_transform(rows[2:], lambda r: '| ' || array_to_string(list_transform(r, lambda c: {_MD.replace('{c}', 'c')}), ' | ') || ' |')), chr(10)) AS markdown FROM {_SHEET}")
 def sheet_md(t):
-    return _sheet(t).select("c_nationkey", ce.sheet_markdown(F.col("rows")).alias("markdown"))
+    return _sheet(t).select("l_orderkey", ce.sheet_markdown(F.col("rows")).alias("markdown"))
 
 
-@catalog.add("sheet_text", f"SELECT c_nationkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' ')), chr(10)) AS text FROM {_SHEET}")
+@catalog.add("sheet_text", f"SELECT l_orderkey, array_to_string(list_transform(rows, lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), ' ')), chr(10)) AS text FROM {_SHEET}")
 def sheet_text(t):
-    return _sheet(t).select("c_nationkey", ce.sheet_text(F.col("rows")).alias("text"))
+    return _sheet(t).select("l_orderkey", ce.sheet_text(F.col("rows")).alias("text"))
 
 
-@catalog.add("render_headers_json", f"SELECT c_nationkey, CAST(to_json(list_transform(rows[2:], lambda r: {{'name': r[1], 'balance': r[2], 'segment': r[3], 'column_3': r[4]}})) AS VARCHAR) AS json FROM {_SHEET}")
+@catalog.add("render_headers_json", f"SELECT l_orderkey, CAST(to_json(list_transform(rows[2:], lambda r: {{'name': r[1], 'balance': r[2], 'segment': r[3], 'column_3': r[4]}})) AS VARCHAR) AS json FROM {_SHEET}")
 def render_headers_json(t):
-    return _sheet(t).select("c_nationkey", ce.sheet_objects(F.col("rows")).alias("json"))
+    return _sheet(t).select("l_orderkey", ce.sheet_objects(F.col("rows")).alias("json"))
 
 
 @catalog.add("infer_cell", f"SELECT o_orderkey, CASE WHEN regexp_replace(x, '{_WS}', '', 'g') = '' THEN 'null' WHEN regexp_matches(x, '{ce.NUMBER}') THEN 'number' WHEN x IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS type FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN '0' || o_custkey WHEN 2 THEN o_custkey || '.5' WHEN 3 THEN o_custkey || '.0' WHEN 4 THEN 'true' ELSE ' ' END AS x FROM orders)")

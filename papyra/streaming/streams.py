@@ -47,8 +47,11 @@ def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def usage(entries: DataFrame) -> DataFrame:
-    """Calls and tokens of each experiment, in update mode: every batch gives the changed sums."""
-    return entries.groupBy("experiment").agg(F.count("*").alias("calls"), F.sum("tokens.input").alias("input"), F.sum("tokens.output").alias("output"))
+    """Calls and tokens of each experiment, in update mode: every batch gives the changed sums.
+
+    An entry delivered again, however late, counts once: its id stays in the state.
+    """
+    return entries.dropDuplicates(["id"]).groupBy("experiment").agg(F.count("*").alias("calls"), F.sum("tokens.input").alias("input"), F.sum("tokens.output").alias("output"))
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,22 +62,25 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
 def continuity(pages: DataFrame, client: Client, tail: int = 200) -> DataFrame:
     """doc_id, page_index, context, output of each page: the end of a document's last output feeds its next page.
 
-    State is one text of at most tail characters for each document. Within a batch pages go in
-    order; a page that arrives after its successors is given the state as it is then.
+    State is one text of at most tail characters for each document, and the pages it has had: a page
+    delivered again gives no second row. Within a batch pages go in order; a page that arrives after its
+    successors is given the state as it is then.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        context = state.get[0] if state.exists else ""
-        rows = []
-        for p in pd.concat(list(batches)).sort_values("page_index", kind="stable").itertuples():
+        context, had = state.get if state.exists else ("", [])
+        rows, had = [], list(had)
+        b = pd.concat(list(batches)).drop_duplicates("page_index")
+        for p in b[~b["page_index"].isin(had)].sort_values("page_index", kind="stable").itertuples():
             text = p.text if isinstance(p.text, str) else ""
             out = client(context, text)
             rows.append((key[0], p.page_index, context, out))
             context = out[-tail:]
-        state.update((context,))
+            had.append(int(p.page_index))
+        state.update((context, had))
         yield pd.DataFrame(rows, columns=["doc_id", "page_index", "context", "output"])
 
-    return pages.select("doc_id", "page_index", "text").groupBy("doc_id").applyInPandasWithState(step, "doc_id long, page_index int, context string, output string", "context string", "append", GroupStateTimeout.NoTimeout)
+    return pages.select("doc_id", "page_index", "text").groupBy("doc_id").applyInPandasWithState(step, "doc_id long, page_index int, context string, output string", "context string, had array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def continuity_batch(pages: DataFrame, client: Client, tail: int = 200) -> DataFrame:
@@ -92,7 +98,11 @@ def continuity_batch(pages: DataFrame, client: Client, tail: int = 200) -> DataF
     return pages.select("doc_id", "page_index", "text").groupBy("doc_id").applyInPandas(step, "doc_id long, page_index int, context string, output string")
 
 
-def page_events(pages: DataFrame) -> DataFrame:
-    """Events of reading pages as rows: start, content or error, done; an error doesn't stop the document."""
-    kinds = F.array(F.lit("unit-start"), F.when(F.col("text").isNull(), "error").otherwise("content"), F.lit("unit-done"))
+def page_events(pages: DataFrame, abort: bool = True) -> DataFrame:
+    """Events of reading pages as rows: start, content, done; or start and error, which ends the document where abort is set."""
+    kinds = F.when(F.col("text").isNull(), F.array(F.lit("unit-start"), F.lit("error"))).otherwise(F.array(F.lit("unit-start"), F.lit("content"), F.lit("unit-done")))
+    if abort:
+        # the first failed page of each document: one row for each that fails
+        failed = pages.where("text is null").groupBy("doc_id").agg(F.min("page_index").alias("__failed"))
+        pages = pages.join(failed, "doc_id", "left").where("__failed is null or page_index <= __failed")
     return pages.select("doc_id", "page_index", "text", F.posexplode(kinds).alias("step", "event_type")).select("doc_id", "page_index", "step", "event_type", F.when(F.col("event_type") == "content", F.length("text")).alias("chars"))
