@@ -12,7 +12,6 @@ from papyra.operators import runs as op
 from papyra.plans.journal import _CATEGORY
 from papyra.plans.registry import Catalog
 from papyra.plans.runs import _UNITS, _units
-from papyra.sources import files as fl
 from papyra.sources import images as im
 from papyra.sources import pdf
 from papyra.streaming import streams as st
@@ -34,18 +33,6 @@ def src_bytes(t):
     return t.documents.select("doc_id", F.octet_length(F.col("text").cast("binary")).alias("bytes"))
 
 
-@catalog.add("src_file")
-def src_file(t):
-    """The tables' own files, read as binary files: path and length only, so no content is loaded."""
-    return fl.read_files(t.spark, t.directory, "*.parquet").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
-
-
-@catalog.add("src_dir")
-def src_dir(t):
-    done = fl.read_files(t.spark, t.directory, "o*.parquet").select("path")
-    return fl.read_files(t.spark, t.directory, "*.parquet").join(done, "path", "left_anti").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-
-
 @catalog.add("parse_image", "SELECT doc_id, page_index, 'svg' AS format, CAST(floor(width_pt) AS INT) AS width, CAST(floor(height_pt) AS INT) AS height FROM pdf_pages")
 def parse_image(t):
     svg = F.concat(F.lit('<svg xmlns="x" viewBox="0 0 '), F.floor("width_pt").cast("string"), F.lit(" "), F.floor("height_pt").cast("string"), F.lit('"></svg>')).cast("binary")

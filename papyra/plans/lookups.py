@@ -87,17 +87,6 @@ def supported_formats(t):
     return t.inputs.select(f.alias("format")).where("format is not null").groupBy("format").agg(F.count("*").alias("inputs"))
 
 
-@catalog.add("load_office", f"SELECT doc_id, source, coalesce({_GIVEN}, {sql_case(_MIME, fixed.MIME_FORMAT)}, {sql_case(_EXT, fixed.EXTENSION_FORMAT)}) AS format, CASE WHEN path IS NULL THEN 'bytes' WHEN regexp_matches(lower(path), '^https?://') THEN 'url' ELSE 'file' END AS route FROM inputs")
-def load_office(t):
-    f = F.coalesce(fn.detect_format(F.col("explicit"), F.lit(None).cast("string"), F.col("mime")), fn.format_of_extension(fn.get_extension(F.col("path"))))
-    return t.inputs.select("doc_id", "source", f.alias("format"), fn.detect_input_type(F.col("path")).alias("route"))
-
-
-@catalog.add("src_image_guard", f"SELECT doc_id, length(text) <= {fixed.MAX_IMAGE_BYTES} AS accepted FROM documents WHERE text IS NOT NULL")
-def src_image_guard(t):
-    return t.documents.where("text is not null").select("doc_id", (F.length("text") <= fixed.MAX_IMAGE_BYTES).alias("accepted"))
-
-
 @catalog.add("capability_checks", "SELECT provider, id, coalesce(capabilities.vision, false) AS vision, coalesce(capabilities.pdf_input, false) AS pdf_input, capabilities.reasoning IS NOT NULL AS reasoning FROM models")
 def capability_checks(t):
     return t.models.select("provider", "id", F.coalesce("capabilities.vision", F.lit(False)).alias("vision"), F.coalesce("capabilities.pdf_input", F.lit(False)).alias("pdf_input"), F.col("capabilities.reasoning").isNotNull().alias("reasoning"))

@@ -144,17 +144,27 @@ def clamp01(t):
     return t.pdf_pages.select("doc_id", "page_index", geo.clamp01(F.col("total_image_coverage") * 2 - 0.5).alias("x"))
 
 
-@catalog.add("image_coverage")
+# two images, the second drawn within the first one's coordinates at half its width and height, a third after restoring
+_DRAWN = "(SELECT doc_id, page_index, width_pt * height_pt AS area, width_pt * height_pt * coalesce(max_image_coverage, 0) AS a1, width_pt * height_pt * coalesce(max_image_coverage, 0) / 4 AS a2, width_pt * 10.0 AS a3 FROM pdf_pages)"
+
+
+@catalog.add("image_coverage", f"""SELECT doc_id, page_index, round(greatest(least(a1 / area, 1.0), least(a2 / area, 1.0), least(a3 / area, 1.0)), 6) AS max_coverage,
+    round(least(1.0, (CASE WHEN a1 / area >= {fixed.COUNTED_COVERAGE} THEN a1 ELSE 0 END + CASE WHEN a2 / area >= {fixed.COUNTED_COVERAGE} THEN a2 ELSE 0 END + CASE WHEN a3 / area >= {fixed.COUNTED_COVERAGE} THEN a3 ELSE 0 END) / area), 6) AS total_coverage,
+    CAST((a1 / area >= {fixed.COUNTED_COVERAGE})::INT + (a2 / area >= {fixed.COUNTED_COVERAGE})::INT + (a3 / area >= {fixed.COUNTED_COVERAGE})::INT AS INT) AS large_images FROM {_DRAWN}""")
 def image_coverage(t):
-    """Each page's images as drawing operations of their coverage, folded back to the page's statistics."""
-    ops = F.array(
-        F.struct(F.lit("save").alias("op"), F.lit(None).cast("array<double>").alias("matrix")),
-        F.struct(F.lit("transform").alias("op"), F.array(F.col("width_pt") * F.sqrt("max_image_coverage"), F.lit(0.0), F.lit(0.0), F.col("height_pt") * F.sqrt("max_image_coverage"), F.lit(0.0), F.lit(0.0)).alias("matrix")),
-        F.struct(F.lit("paint").alias("op"), F.lit(None).cast("array<double>").alias("matrix")),
-        F.struct(F.lit("restore").alias("op"), F.lit(None).cast("array<double>").alias("matrix")),
-    )
+    """Drawing operations of each page with nested coordinates, folded to the page's statistics."""
+
+    def matrix(x, y):
+        return F.array(x, F.lit(0.0), F.lit(0.0), y, F.lit(3.0), F.lit(5.0))
+
+    def op(name, m=None):
+        return F.struct(F.lit(name).alias("op"), (m if m is not None else F.lit(None).cast("array<double>")).alias("matrix"))
+
+    side = F.sqrt(F.coalesce("max_image_coverage", F.lit(0.0)))
+    w, h = F.col("width_pt") * side, F.col("height_pt") * side
+    ops = F.array(op("save"), op("transform", matrix(w, h)), op("paint"), op("transform", matrix(F.lit(0.5), F.lit(0.5))), op("paint"), op("restore"), op("transform", matrix(F.col("width_pt"), F.lit(10.0))), op("paint"))
     c = geo.image_coverage(ops, F.col("width_pt") * F.col("height_pt"))
-    return t.pdf_pages.where("max_image_coverage is not null").select("doc_id", "page_index", c.alias("c")).select("doc_id", "page_index", F.round("c.max_coverage", 6).alias("max_coverage"), F.round("c.total_coverage", 6).alias("total_coverage"), "c.large_images")
+    return t.pdf_pages.select("doc_id", "page_index", c.alias("c")).select("doc_id", "page_index", F.round("c.max_coverage", 6).alias("max_coverage"), F.round("c.total_coverage", 6).alias("total_coverage"), "c.large_images")
 
 
 _EDGE = sql_case("kind", {k: str(v) for k, v in fixed.LONG_EDGE.items()}, "'1024'")

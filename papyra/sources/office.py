@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,8 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Archives that unpack to more are refused, part by part.
+#: A file with a part that unpacks to more is refused with an error: one part is one task's memory.
 LARGEST_PART = 256 * 1024 * 1024
+#: Fixed value: the columns a sheet can have.
+MOST_COLUMNS = 16384
 NODES = "path string, error string, unit_index int, unit_name string, node_id int, parent_id int, preorder int, depth int, type string, text string"
 
 
@@ -40,6 +43,15 @@ def _text(e: ElementTree.Element) -> str:
     return "".join(out)
 
 
+def _blocks(body: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Paragraphs and tables, also those within content controls and tracked insertions."""
+    for e in body:
+        if _local(e.tag) in ("p", "tbl"):
+            yield e
+        elif _local(e.tag) in ("sdt", "sdtContent", "customXml", "ins"):
+            yield from _blocks(e)
+
+
 def _number(name: str) -> int:
     m = re.search(r"(\d+)\.xml$", name)
     return int(m.group(1)) if m else 0
@@ -50,13 +62,42 @@ def _rows(z: zipfile.ZipFile, kind: str) -> Iterator[tuple[int, str, int, str, s
     names = set(z.namelist())
 
     def tree(name: str) -> ElementTree.Element | None:
-        if name not in names or z.getinfo(name).file_size > LARGEST_PART:
+        if name not in names:
             return None
+        if z.getinfo(name).file_size > LARGEST_PART:
+            raise ValueError(f"{name} is larger than {LARGEST_PART} bytes")
         return ElementTree.fromstring(z.read(name))
 
+    def part(name: str) -> tuple[ElementTree.Element | None, str | None]:
+        """A unit's own part, or what is wrong with it: the other units are read all the same."""
+        try:
+            return tree(name), None
+        except (ElementTree.ParseError, ValueError) as e:
+            return None, f"{type(e).__name__}: {e}"[:200]
+
+    def relations(name: str) -> dict[str, tuple[str, str]]:
+        """(kind, target part) by id of what a part refers to."""
+        folder, _, file = name.rpartition("/")
+        rels = tree(f"{folder}/_rels/{file}.rels")
+        out = {}
+        for r in [] if rels is None else rels:
+            target = r.get("Target") or ""
+            where = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+            out[r.get("Id") or ""] = ((r.get("Type") or "").rsplit("/", 1)[-1], where)
+        return out
+
+    def ordered(index: str, element: str, pattern: str) -> list[tuple[str, str]]:
+        """(part, name) of the units in the order the index lists them; by number where it refers to none."""
+        top, rels = tree(index), relations(index)
+        listed = [] if top is None else [x for x in top.iter() if _local(x.tag) == element]
+        found = [(rels[r][1], _attribute(x, "name") or "") for x in listed for r in [next((v for k, v in x.attrib.items() if k.endswith("}id")), "")] if r in rels]
+        numbered = sorted((n for n in names if re.fullmatch(pattern, n)), key=_number)
+        titles = [_attribute(x, "name") or "" for x in listed]
+        return found or [(n, titles[i] if i < len(titles) else "") for i, n in enumerate(numbered)]
+
     if kind == "docx":
         body = tree("word/document.xml")
-        for e in [] if body is None else next((x for x in body if _local(x.tag) == "body"), body):
+        for e in [] if body is None else _blocks(next((x for x in body if _local(x.tag) == "body"), body)):
             name = _local(e.tag)
             if name == "p":
                 style = next((_attribute(x, "val") for x in e.iter() if _local(x.tag) == "pStyle"), "") or ""
@@ -68,25 +109,28 @@ def _rows(z: zipfile.ZipFile, kind: str) -> Iterator[tuple[int, str, int, str, s
                 for row in (x for x in e if _local(x.tag) == "tr"):
                     yield 0, "Section 1", 2, "row", "\t".join(_text(c).strip() for c in row if _local(c.tag) == "tc")
     elif kind == "pptx":
-        for i, part in enumerate(sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=_number)):
-            slide = tree(part)
+        for i, (place, _) in enumerate(ordered("ppt/presentation.xml", "sldId", r"ppt/slides/slide\d+\.xml")):
+            slide, wrong = part(place)
+            if wrong:
+                yield i, f"Slide {i + 1}", 1, "error", wrong
             for e in [] if slide is None else slide.iter():
                 if _local(e.tag) == "pic":
                     yield i, f"Slide {i + 1}", 1, "image", ""
                 elif _local(e.tag) == "p" and (t := _text(e)).strip():
                     yield i, f"Slide {i + 1}", 1, "paragraph", t
-            notes = tree(f"ppt/notesSlides/notesSlide{_number(part)}.xml")
+            of_slide = [where for kind_, where in relations(place).values() if kind_ == "notesSlide"]
+            notes, _ = part(of_slide[0] if of_slide else f"ppt/notesSlides/notesSlide{_number(place)}.xml")
             for e in [] if notes is None else notes.iter():
                 if _local(e.tag) == "p" and (t := _text(e)).strip():
                     yield i, f"Slide {i + 1}", 1, "note", t
     elif kind == "xlsx":
         shared = tree("xl/sharedStrings.xml")
         strings = [] if shared is None else [_text(x) for x in shared if _local(x.tag) == "si"]
-        book = tree("xl/workbook.xml")
-        titles = [] if book is None else [_attribute(x, "name") or "" for x in book.iter() if _local(x.tag) == "sheet"]
-        for i, part in enumerate(sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=_number)):
-            sheet = tree(part)
-            title = titles[i] if i < len(titles) else f"Sheet {i + 1}"
+        for i, (place, title) in enumerate(ordered("xl/workbook.xml", "sheet", r"xl/worksheets/sheet\d+\.xml")):
+            sheet, wrong = part(place)
+            title = title or f"Sheet {i + 1}"
+            if wrong:
+                yield i, title, 1, "error", wrong
             for row in [] if sheet is None else (x for x in sheet.iter() if _local(x.tag) == "row"):
                 cells: dict[int, str] = {}
                 for c in (x for x in row if _local(x.tag) == "c"):
@@ -114,12 +158,14 @@ def _rows(z: zipfile.ZipFile, kind: str) -> Iterator[tuple[int, str, int, str, s
             elif unit < 0:
                 continue
             elif kind == "ods" and name == "table-row":
-                cells_ = []
+                cells_, gap = [], 0
                 for c in (x for x in e if _local(x.tag) in ("table-cell", "covered-table-cell")):
-                    n = int(_attribute(c, "number-columns-repeated") or 1)
-                    cells_ += [_text(c)] * (n if n < 1000 else 1)
-                while cells_ and not cells_[-1]:
-                    cells_.pop()
+                    n, t = min(int(_attribute(c, "number-columns-repeated") or 1), MOST_COLUMNS), _text(c)
+                    if t:  # empty cells count only before others
+                        cells_ += [""] * gap + [t] * n
+                        gap = 0
+                    else:
+                        gap += n
                 if cells_:
                     yield unit, title, 1, "row", "\t".join(cells_)
             elif kind != "ods" and name in ("p", "h") and (t := _text(e)).strip():
@@ -150,13 +196,16 @@ def parse(content: bytes | None) -> tuple[str | None, list[tuple]]:
             if kind is None:
                 return "unknown kind of archive", []
             out: list[tuple] = []
-            last, root = None, None
+            last: int | None = None
+            above: list[int] = []  # the last node of each depth, down to the one before
             for unit, title, depth, type_, text in _rows(z, kind):
                 if unit != last:
-                    root = len(out)
-                    out.append((unit, title, root, None, root, 0, "slide" if kind in ("pptx", "odp") else "sheet" if kind in ("xlsx", "ods") else "section", None))
+                    above = [len(out)]
+                    out.append((unit, title, above[0], None, above[0], 0, "slide" if kind in ("pptx", "odp") else "sheet" if kind in ("xlsx", "ods") else "section", None))
                     last = unit
-                out.append((unit, title, len(out), root, len(out), depth, type_, text))
+                above = above[:depth]
+                out.append((unit, title, len(out), above[-1], len(out), depth, type_, text))
+                above.append(len(out) - 1)
             return None, out
     except (zipfile.BadZipFile, ElementTree.ParseError, RuntimeError, OSError, KeyError, ValueError) as e:
         return f"{type(e).__name__}: {e}"[:200], []

@@ -63,8 +63,8 @@ def _data(body: bytes) -> bytes:
     if b"FlateDecode" in body[: m.start()]:
         try:
             return zlib.decompressobj().decompress(m.group(1))
-        except zlib.error:
-            return b""
+        except zlib.error as e:
+            raise ValueError(f"content stream: {e}") from e
     return m.group(1)
 
 
@@ -77,15 +77,21 @@ def parse(content: bytes | None) -> tuple[str | None, list[tuple[int, float, flo
     objects = {int(m.group(1)): m.group(3) for m in _OBJECT.finditer(content)}
     pages = [(n, b) for n, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
     boxes = re.search(rb"/MediaBox\s*\[([^\]]*)\]", content)
-    out = []
+    out, broken = [], {}
     for i, (_, b) in enumerate(pages):
         box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", b) or boxes
         x = [float(v) for v in re.findall(rb"-?\d+(?:\.\d+)?", box.group(1))] if box else [0, 0, 612, 792]
         turn = re.search(rb"/Rotate\s+(-?\d+)", b)
         refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", b)
-        stream = b"\n".join(_data(objects.get(int(n), b"")) for n in re.findall(rb"(\d+)\s+\d+\s+R", refs.group(1))) if refs else b""
+        try:
+            stream = b"\n".join(_data(objects.get(int(n), b"")) for n in re.findall(rb"(\d+)\s+\d+\s+R", refs.group(1))) if refs else b""
+        except ValueError as e:
+            broken[i] = str(e)
+            stream = b""
         out.append((i, abs(x[2] - x[0]), abs(x[3] - x[1]), int(turn.group(1)) % 360 if turn else 0, len(re.findall(rb"/\w+\s+Do\b", stream)), content_text(stream)))
-    return (None, out) if out else ("no readable pages", [])
+    if out and len(broken) == len(out):
+        return next(iter(broken.values())), []
+    return ("; ".join(f"page {i}: {x}" for i, x in broken.items()) or None, out) if out else ("no readable pages", [])
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b["path"], b["content"]):
                 error, pages = parse(content)
-                rows += [(path, None, *p) for p in pages] or [(path, error, None, None, None, None, None, None)]
+                rows += [(path, error if error and f"page {p[0]}:" in error else None, *p) for p in pages] or [(path, error, None, None, None, None, None, None)]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")])
             for k in ("page_index", "rotation_deg", "image_op_count"):
                 out[k] = out[k].astype("Int32")

@@ -101,3 +101,41 @@ def test_fetch_reads_file_urls(spark, tmp_path):
     (tmp_path / "p.html").write_text("<p>hi</p>")
     got = fl.fetch(spark.createDataFrame([((tmp_path / "p.html").as_uri(),)], "path string")).first()
     assert bytes(got.content) == b"<p>hi</p>" and got.mime == "text/html" and got.error is None
+
+
+def test_parts_and_relations():
+    """Units come in the order the index lists; one bad part is one error; nothing of a wide row is lost."""
+    from papyra.sources import samples
+
+    error, nodes = of.parse(samples.talk_pptx())
+    assert error is None and [n[7] for n in nodes if n[6] == "paragraph"] == ["First", "Second"] and [n[0] for n in nodes if n[6] == "error"] == [2]
+    wide = archive({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": '<d xmlns:t="t" xmlns:x="x"><body><t:table t:name="One"><t:table-row><t:table-cell t:number-columns-repeated="1500"><x:p>v</x:p></t:table-cell></t:table-row></t:table></body></d>'})
+    assert of.parse(wide)[1][1][7] == "\t".join(["v"] * 1500)
+
+
+def test_too_large_a_part_is_an_error(monkeypatch):
+    monkeypatch.setattr(of, "LARGEST_PART", 100)
+    error, nodes = of.parse(docx())
+    assert nodes == [] and "larger than" in error
+
+
+def test_a_broken_stream_is_an_error_of_its_page():
+    from papyra.sources import samples
+
+    error, pages = pdf.parse(samples.pages_pdf())
+    assert error.startswith("page 1: content stream") and [p[5] for p in pages] == ["The first page", ""]
+
+
+def test_registry_precedence(spark):
+    import json
+
+    import pytest
+
+    from papyra.streaming.streams import shared_folder
+
+    folder = shared_folder(spark, "registry")
+    a = fl.put(spark, f"{folder}/a.json", json.dumps({"providers": [{"id": "p", "models": [{"id": "a"}]}]}).encode())
+    b = fl.put(spark, f"{folder}/b.json", json.dumps({"providers": [{"id": "p", "models": [{"id": "b"}]}]}).encode())
+    assert [r.id for r in fl.first_registry(spark, [None, b, a]).collect()] == ["b"] and [r.id for r in fl.first_registry(spark, ["", f"{folder}/no.json", a]).collect()] == ["a"]
+    with pytest.raises(FileNotFoundError, match="no.json"):
+        fl.first_registry(spark, [None, f"{folder}/no.json"])
