@@ -130,28 +130,34 @@ def bisect_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int
     return out
 
 
-def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, keys: list[str]) -> DataFrame:
+def split_oversized(df: DataFrame, text: str, limit: Column, overlap: Column, keys: list[str], once: bool = False) -> DataFrame:
     """One row per piece of each text in df: keys, piece_index, start, core_start, end, boundary, piece.
 
     Texts within their limit never reach Python: they come out as one piece with boundary 'end'.
     Null text or null limit: one piece, unchanged (nothing to cut by). Empty text: one empty
     piece. Ties between boundaries go to the one before the middle. Repeated rows are cut alike.
-    Columns of df other than keys are not carried, so clashing names do no harm. No shuffle.
+    Columns of df other than keys are not carried, so clashing names do no harm. No shuffle, unless
+    once is set: then rows of equal keys count once, the long texts and the others each among themselves,
+    so that whoever asks only for what was cut shuffles no other text.
     """
     base = df.select(*keys, F.col(text).alias("__text"), limit.cast("int").alias("__limit"), overlap.cast("int").alias("__overlap"))
     long = F.col("__limit").isNotNull() & (F.length("__text") > F.col("__limit"))
 
+    short, large = base.where(~F.coalesce(long, F.lit(False))), base.where(long)
+    if once:
+        short, large = short.dropDuplicates(keys), large.dropDuplicates(keys)
+
     @F.pandas_udf(PIECES)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         names = ("piece_index", "start", "core_start", "end", "boundary", "text")
         for t, n, o in batches:
             yield pd.Series([[dict(zip(names, p)) for p in bisect_text(x, int(a), 0 if pd.isna(b) else int(b))] for x, a, b in zip(t, n, o)])
 
-    small = base.where(~F.coalesce(long, F.lit(False))).select(
+    small = short.select(
         *keys,
         F.lit(0).alias("piece_index"), F.lit(0).alias("start"), F.lit(0).alias("core_start"), F.length("__text").alias("end"), F.lit("end").alias("boundary"), F.col("__text").alias("piece"),
     )
-    big = base.where(long).select(*keys, F.explode(cut("__text", "__limit", "__overlap")).alias("p")).select(
+    big = large.select(*keys, F.explode(cut("__text", "__limit", "__overlap")).alias("p")).select(
         *keys, "p.piece_index", "p.start", "p.core_start", "p.end", "p.boundary", F.col("p.text").alias("piece")
     )
     return small.unionByName(big)
@@ -174,5 +180,5 @@ def split_sections(sections: DataFrame, budgets: DataFrame) -> DataFrame:
     without a hint: Spark broadcasts them only while their measured size is under its threshold.
     """
     b = budgets.select(F.lower(F.trim("format")).alias("format"), "max_chars", "overlap_chars").dropDuplicates(["format"])
-    t = section_texts(sections).dropDuplicates(["doc_id", "section_index"]).join(b, "format", "left")
-    return split_oversized(t, "text", F.col("max_chars"), F.col("overlap_chars"), ["doc_id", "section_index", "format"])
+    t = section_texts(sections).join(b, "format", "left")
+    return split_oversized(t, "text", F.col("max_chars"), F.col("overlap_chars"), ["doc_id", "section_index", "format"], once=True)
