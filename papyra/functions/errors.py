@@ -66,3 +66,9 @@ def pairs_of(attributes: Column) -> Column:
     """Attributes as sorted key=value texts; those without a value are left out."""
     kept = F.map_entries(F.map_filter(attributes, lambda k, v: v.isNotNull()))
     return F.sort_array(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])))
+
+
+def redacted(attrs: Column) -> Column:
+    """A record (map of path to text) without the paths that may hold a secret or a person."""
+    last = lambda k: F.substring_index(k, ".", -1)
+    return F.map_filter(attrs, lambda k, v: ~(last(k).isin(*fixed.SECRET_NAMES) & (F.length(k) - F.length(F.replace(k, F.lit("."), F.lit(""))) <= 1)) & ~k.isin(*fixed.SECRET_PATHS))

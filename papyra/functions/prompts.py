@@ -39,12 +39,18 @@ def build_prompt(prompt: Column, unit_number: Column, tail: Column) -> Column:
     return F.when((unit_number > 1) & (F.length(tail) > 0), F.concat(F.lit("The previous page ended with:\n"), tail, F.lit("\n\n"), prompt)).otherwise(prompt)
 
 
-def substitute(template: Column, values: dict[str, Column], last: str = "text") -> Column:
-    """{name} replaced by its value; the text goes in last, so that braces inside it stay as they are."""
-    out = template
-    for name in [k for k in values if k != last] + ([last] if last in values else []):
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(values[name].cast("string"), F.lit("")))
-    return out
+def substitute(template: Column, values: dict[str, Column], exclude: tuple[str, ...] = ()) -> Column:
+    """{name} replaced by its value, in one pass: braces within a value stay as they are. Unknown and excluded names stay, too."""
+    pieces = F.split(template, r"(?=\{)|(?<=\})")
+
+    def one(piece: Column) -> Column:
+        out = piece
+        for name, value in values.items():
+            if name not in exclude:
+                out = F.when(piece == "{" + name + "}", F.coalesce(value.cast("string"), F.lit(""))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(pieces, one), "")
 
 
 def wrap_untrusted(content: Column, label: str, nonce: Column, namespace: str = "data") -> Column:

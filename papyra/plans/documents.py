@@ -119,21 +119,21 @@ def embedded_images(t):
 
 # --- web pages made of documents ---------------------------------------------------------------
 
-_HTML = "('<!DOCTYPE html><html lang=\"' || coalesce(lang, 'und') || '-XX\"><head><title> ' || file_key || ' </title></head><body><nav>menu</nav><article><p>' || replace(text, chr(10), '<br>') || '</p><img src=\"x.png\"><table><tr><td>1</td></tr></table></article></body></html>')"
+_HTML = "('<!DOCTYPE html><html lang=\"' || coalesce(lang, 'und') || '-XX\"><head><title> ' || coalesce(file_key, '') || ' </title></head><body><nav>menu</nav><article><p>' || replace(coalesce(text, ''), chr(10), '<br>') || '</p><img src=\"x.png\"><table><tr><td>1</td></tr></table></article></body></html>')"
 
 
 def _pages(t):
-    html = F.concat(F.lit('<!DOCTYPE html><html lang="'), F.coalesce("lang", F.lit("und")), F.lit('-XX"><head><title> '), "file_key", F.lit(" </title></head><body><nav>menu</nav><article><p>"), F.replace("text", F.lit("\n"), F.lit("<br>")), F.lit('</p><img src="x.png"><table><tr><td>1</td></tr></table></article></body></html>'))
-    return t.documents.where("text is not null and file_key is not null").select("doc_id", html.alias("html"))
+    html = F.concat(F.lit('<!DOCTYPE html><html lang="'), F.coalesce("lang", F.lit("und")), F.lit('-XX"><head><title> '), F.coalesce("file_key", F.lit("")), F.lit(" </title></head><body><nav>menu</nav><article><p>"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("<br>")), F.lit('</p><img src="x.png"><table><tr><td>1</td></tr></table></article></body></html>'))
+    return t.documents.select("doc_id", html.alias("html"))
 
 
-@catalog.add("parse_html", f"SELECT doc_id, trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, coalesce(nullif(lower(split_part(regexp_extract(h, '(?is)<html[^>]*\\blang\\s*=\\s*[\"'']?([A-Za-z0-9-]+)', 1), '-', 1)), ''), 'und') AS language, len(regexp_extract_all(h, '(?i)<img[\\s/>]')) AS images, len(regexp_extract_all(h, '(?i)<table[\\s/>]')) AS tables FROM (SELECT doc_id, {_HTML} AS h FROM documents WHERE text IS NOT NULL AND file_key IS NOT NULL) WHERE regexp_matches(h, '(?is)<html[^>]*\\blang\\s*=\\s*[\"'']?[A-Za-z0-9-]')")
+@catalog.add("parse_html", f"SELECT doc_id, trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, coalesce(nullif(lower(split_part(regexp_extract(h, '(?is)<html[^>]*\\blang\\s*=\\s*[\"'']?([A-Za-z0-9-]+)', 1), '-', 1)), ''), 'und') AS language, len(regexp_extract_all(h, '(?i)<img[\\s/>]')) AS images, len(regexp_extract_all(h, '(?i)<table[\\s/>]')) AS tables FROM (SELECT doc_id, {_HTML} AS h FROM documents)")
 def parse_html(t):
     h = F.col("html")
-    return _pages(t).where(h.rlike("(?is)<html[^>]*\\blang\\s*=\\s*[\"']?[A-Za-z0-9-]")).select("doc_id", ht.title_of(h).alias("title"), ht.language_of(h).alias("language"), ht.count_elements(h, "img").alias("images"), ht.count_elements(h, "table").alias("tables"))
+    return _pages(t).select("doc_id", ht.title_of(h).alias("title"), ht.language_of(h).alias("language"), ht.count_elements(h, "img").alias("images"), ht.count_elements(h, "table").alias("tables"))
 
 
-@catalog.add("html_lang", f"SELECT doc_id, coalesce(nullif(lower(split_part(regexp_extract(h, '(?is)<html[^>]*\\blang\\s*=\\s*[\"'']?([A-Za-z0-9-]+)', 1), '-', 1)), ''), 'und') AS language FROM (SELECT doc_id, {_HTML} AS h FROM documents WHERE text IS NOT NULL AND file_key IS NOT NULL)")
+@catalog.add("html_lang", f"SELECT doc_id, coalesce(nullif(lower(split_part(regexp_extract(h, '(?is)<html[^>]*\\blang\\s*=\\s*[\"'']?([A-Za-z0-9-]+)', 1), '-', 1)), ''), 'und') AS language FROM (SELECT doc_id, {_HTML} AS h FROM documents)")
 def html_lang(t):
     return _pages(t).select("doc_id", ht.language_of(F.col("html")).alias("language"))
 

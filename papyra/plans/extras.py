@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import language as la
-from papyra.functions.errors import error_class, pairs_of
+from papyra.functions.errors import error_class, pairs_of, redacted
 from papyra.operators import calls as ca
 from papyra.operators import runs as op
 from papyra.plans.journal import _CATEGORY
@@ -48,11 +48,6 @@ def parse_pdf(t):
     return pdf.parse_files(files).select("path", "page_index", "width_pt", "height_pt", "text")
 
 
-@catalog.add("doc_metadata", "SELECT doc_id, CAST(fetched_at AS DATE) AS created, source AS author, unit_count FROM documents")
-def doc_metadata(t):
-    return t.documents.select("doc_id", F.to_date("fetched_at").alias("created"), F.col("source").alias("author"), "unit_count")
-
-
 @catalog.add("free_tier", "SELECT provider, id FROM models WHERE pricing.input = 0 AND pricing.output = 0")
 def free_tier(t):
     return t.models.where("pricing.input = 0 and pricing.output = 0").select("provider", "id")
@@ -64,9 +59,11 @@ def complexity_attrs(t):
     return g.select("doc_id", pairs_of(F.create_map(F.lit("pages"), "p", F.lit("errors"), "e", F.lit("language"), "l")).alias("attrs"))
 
 
-@catalog.add("counter", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN error IS NULL THEN 'none' ELSE 'some' END AS category FROM (SELECT DISTINCT ON (id) * FROM journal)) GROUP BY category")
+@catalog.add("counter", f"SELECT provider, coalesce(category, 'success') AS category, count(*) AS n FROM (SELECT lower(trim(provider)) AS provider, CASE WHEN error IS NOT NULL THEN {_CATEGORY} END AS category FROM journal) GROUP BY 1, 2")
 def counter(t):
-    return t.journal.groupBy(F.when(F.col("error").isNull(), "none").otherwise("some").alias("category")).agg(F.count("*").alias("n"))
+    """Calls by provider and outcome: success, or the category of the error."""
+    outcome = F.when(F.col("error").isNotNull(), error_class(F.col("error"))["category"])
+    return t.journal.groupBy(F.lower(F.trim("provider")).alias("provider"), F.coalesce(outcome, F.lit("success")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @catalog.add("sort_units", f"SELECT doc_id, list(unit_index ORDER BY unit_index) AS units FROM {_UNITS} GROUP BY doc_id")
@@ -93,10 +90,13 @@ def extract_by_run(t):
     return runs.join(pages, ["doc_id", "page_index"]).groupBy("doc_id", "run_index").agg(F.count("*").alias("pages"), F.sum(F.length("text_sample")).alias("characters"))
 
 
-@catalog.add("redact", "SELECT id, list_sort(list_filter(['id=' || id, 'model=' || model], lambda e: e IS NOT NULL)) AS attrs FROM journal")
+@catalog.add("redact", "SELECT id, list_sort(list_filter(['id=' || id, 'model=' || model, 'request.model=' || model, 'input.lines=3'], lambda e: e IS NOT NULL)) AS attrs FROM journal")
 def redact(t):
-    attrs = F.create_map(F.lit("id"), "id", F.lit("model"), "model", F.lit("prompt"), "prompt", F.lit("apiKey"), "provider")
-    return t.journal.select("id", pairs_of(F.map_filter(attrs, lambda k, v: ~F.lower(k).isin("prompt", "output", "apikey", "token", "password", "authorization", "secret"))).alias("attrs"))
+    """A log record of each call with everything that may hold a secret or a person removed."""
+    hidden = ("password", "apiKey", "user.email", "req.headers.authorization", "input.content", "request.accessToken", "recipient")
+    pairs = [F.lit("id"), F.col("id"), F.lit("model"), F.col("model"), F.lit("request.model"), F.col("model"), F.lit("input.lines"), F.lit("3")]
+    attrs = F.create_map(*pairs, *[x for k in hidden for x in (F.lit(k), F.col("provider"))])
+    return t.journal.select("id", pairs_of(redacted(attrs)).alias("attrs"))
 
 
 @catalog.add("progress_events", f"SELECT doc_id, unit_index, CASE WHEN error IS NULL THEN 'unit-done' ELSE 'unit-error' END AS event_type FROM {_UNITS}")

@@ -197,10 +197,21 @@ def entry_cost(t):
     return j.join(m, "model_id", "left").select("id", *[F.round(c[k], 9).alias(f"{k}_cost") for k in ("input", "output", "cached", "reasoning")])
 
 
-@catalog.add("call_cost", "SELECT id, round(tokens.input / 1000000.0::DOUBLE * 2.0 + tokens.output / 1000000.0::DOUBLE * 8.0 + 85 / 1000000.0::DOUBLE * 0.5, 9) AS cost FROM journal WHERE tokens.input IS NOT NULL AND tokens.output IS NOT NULL")
+_PRICED = f"(SELECT j.*, coalesce(m.pricing.input, 1.0) AS pi, coalesce(m.pricing.output, 4.0) AS po, m.pricing.image AS pm, coalesce(m.capabilities.vision, false) AS vision, coalesce(m.capabilities.pdf_input, false) AS pdf_input FROM (SELECT j.*, coalesce(a.id, j.model) AS model_id FROM journal j LEFT JOIN {_ALIASES} a ON lower(trim(j.provider)) = a.provider AND j.model = a.alias) j LEFT JOIN models m ON j.model_id = m.id)"
+
+
+def _priced(t, *columns):
+    """Calls with the registry's model: its price (or the default one) and what it can do."""
+    j = md.resolve_alias(t.journal.select("id", "provider", "model", *columns), t.models)
+    m = md.first_by_id(t.models).select(F.col("id").alias("model_id"), "pricing", F.coalesce("capabilities.vision", F.lit(False)).alias("vision"), F.coalesce("capabilities.pdf_input", F.lit(False)).alias("pdf_input"))
+    return j.join(m, "model_id", "left").fillna(False, ["vision", "pdf_input"])
+
+
+@catalog.add("call_cost", f"SELECT id, round(tokens.input / 1000000.0::DOUBLE * pi + tokens.output / 1000000.0::DOUBLE * po + CASE WHEN pm IS NOT NULL THEN 85 / 1000000.0::DOUBLE * pm ELSE 0.0 END, 9) AS cost FROM {_PRICED} WHERE tokens.input IS NOT NULL AND tokens.output IS NOT NULL")
 def call_cost(t):
-    price = {"input": F.lit(2.0), "output": F.lit(8.0), "image": F.lit(0.5)}
-    return t.journal.where("tokens.input is not null and tokens.output is not null").select("id", F.round(tk.call_cost(F.col("tokens.input"), F.col("tokens.output"), F.lit(85), price), 9).alias("cost"))
+    """A call with one small image, at its model's price; the image costs only where the model has a price for it."""
+    price = {"input": F.coalesce("pricing.input", F.lit(1.0)), "output": F.coalesce("pricing.output", F.lit(4.0)), "image": F.col("pricing.image")}
+    return _priced(t, "tokens").where("tokens.input is not null and tokens.output is not null").select("id", F.round(tk.call_cost(F.col("tokens.input"), F.col("tokens.output"), tk.image_tokens(F.lit(500), F.lit(300)), price), 9).alias("cost"))
 
 
 _ONCE = "(SELECT DISTINCT ON (id) * FROM journal)"
@@ -298,15 +309,15 @@ def build_prompt(t):
     return t.sections.select("doc_id", "section_index", pr.build_prompt(F.lit("Go on."), F.col("section_index") + 1, F.coalesce("heading", F.lit(""))).alias("prompt"))
 
 
-@catalog.add("substitute_condense", "SELECT doc_id, section_index, replace(replace(replace('{heading}: {level}' || chr(10) || '{text}', '{heading}', coalesce(heading, '')), '{level}', CAST(level AS VARCHAR)), '{text}', array_to_string(coalesce(lines, []), chr(10))) AS prompt FROM sections WHERE level IS NOT NULL")
+@catalog.add("substitute_condense", "SELECT doc_id, section_index, coalesce(heading, '') || ': ' || CAST(level AS VARCHAR) || chr(10) || array_to_string(coalesce(lines, []), chr(10)) AS prompt FROM sections WHERE level IS NOT NULL")
 def substitute_condense(t):
     values = {"heading": F.col("heading"), "text": F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n"), "level": F.col("level")}
     return t.sections.where("level is not null").select("doc_id", "section_index", pr.substitute(F.lit("{heading}: {level}\n{text}"), values).alias("prompt"))
 
 
-@catalog.add("substitute_vars", "SELECT doc_id, replace(replace('{path} as {mime}, {unknown}', '{path}', coalesce(path, '')), '{mime}', coalesce(mime, '')) AS text FROM inputs")
+@catalog.add("substitute_vars", "SELECT doc_id, coalesce(path, '') || ' as ' || coalesce(mime, '') || ', {unknown} of {source}' AS text FROM inputs")
 def substitute_vars(t):
-    return t.inputs.select("doc_id", pr.substitute(F.lit("{path} as {mime}, {unknown}"), {"path": F.col("path"), "mime": F.col("mime")}).alias("text"))
+    return t.inputs.select("doc_id", pr.substitute(F.lit("{path} as {mime}, {unknown} of {source}"), {"path": F.col("path"), "mime": F.col("mime"), "source": F.col("source")}, exclude=("source",)).alias("text"))
 
 
 @catalog.add("wrap_untrusted", r"SELECT id, '<data:page_n0nce>' || chr(10) || regexp_replace(regexp_replace(regexp_replace(prompt, '(?i)</?data:page', '', 'g'), '(?i)<page', '<\\page', 'g'), '(?i)</page', '<\\/page', 'g') || chr(10) || '</data:page_n0nce>' AS text FROM journal WHERE prompt IS NOT NULL")
@@ -344,7 +355,20 @@ def build_messages(t):
     return t.journal.where("prompt is not null").select("id", m.alias("messages"))
 
 
-@catalog.add("office_vision_prepare", "SELECT s.doc_id, s.section_index, m.id AS model, CASE WHEN m.capabilities.pdf_input THEN 'pdf-direct' ELSE 'images' END AS route FROM sections s JOIN models m ON s.level = m.ordinal")
+@catalog.add("office_vision_prepare", f"SELECT id, doc_id, model_id, CASE WHEN pdf_input THEN 'pdf-direct' WHEN vision THEN 'images' ELSE 'unsupported' END AS route FROM {_PRICED} WHERE doc_id IS NOT NULL")
 def office_vision_prepare(t):
-    m = t.models.select(F.col("ordinal").alias("level"), F.col("id").alias("model"), F.when(F.col("capabilities.pdf_input"), "pdf-direct").otherwise("images").alias("route"))
-    return t.sections.select("doc_id", "section_index", "level").join(m, "level").select("doc_id", "section_index", "model", "route")
+    """How a call's document reaches its model: as PDF, as images, or not at all."""
+    route = F.when(F.col("pdf_input"), "pdf-direct").when(F.col("vision"), "images").otherwise("unsupported")
+    return _priced(t, "doc_id").where("doc_id is not null").select("id", "doc_id", "model_id", route.alias("route"))
+
+
+@catalog.add("gauge", f"SELECT lower(trim(provider)) AS provider, arg_max(duration_ms, (ts, id)) AS last_ms FROM {_ONCE} WHERE duration_ms IS NOT NULL GROUP BY 1")
+def gauge(t):
+    """The last value of a measure, by time."""
+    return t.journal.where("duration_ms is not null").groupBy(F.lower(F.trim("provider")).alias("provider")).agg(F.max_by("duration_ms", F.struct("ts", "id")).alias("last_ms"))
+
+
+@catalog.add("limit_rows", "SELECT id, experiment FROM journal ORDER BY id LIMIT 50")
+def limit_rows(t):
+    """The first rows by id: a limit as its own feature."""
+    return t.journal.select("id", "experiment").orderBy("id").limit(50)

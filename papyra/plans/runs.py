@@ -182,16 +182,32 @@ def wrap_phase(t):
     return t.pdf_pages.where("error is not null").select("doc_id", "error.*").select("doc_id", "unit_index", wrap(F.col("phase"), F.col("message")).alias("e")).select("doc_id", "unit_index", "e.*")
 
 
-@catalog.add("pdf_document", f"""SELECT doc_id, run_index, run_key, text, language, ocr_code FROM (
-    SELECT r.doc_id, r.run_index, r.run_key, r.language, {sql_case('r.language', fixed.OCR_LANGUAGE, "'eng'")} AS ocr_code,
-        (SELECT string_agg(o.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY o.page_index) FROM (SELECT DISTINCT ON (doc_id, page_index) doc_id, page_index, text FROM ocr_pages) o WHERE o.doc_id = r.doc_id AND list_contains(r.page_indices, o.page_index)) AS text
-    FROM (SELECT DISTINCT ON (doc_id, run_index) * FROM runs) r WHERE kind = 'scanned-image')""")
+_CODE3 = {k: k for k in fixed.OCR_LANGUAGE} | fixed.LANGUAGE_NAME
+_PLAIN = "split_part(translate(lower(trim(language)), '_', '-'), '-', 1)"
+
+
+@catalog.add("pdf_document", f"""WITH r AS (SELECT doc_id, run_index, run_key, kind, language, coalesce({sql_case(_PLAIN, {k: fixed.OCR_LANGUAGE[v] for k, v in _CODE3.items()})}, 'eng') AS ocr_code, page_indices FROM runs),
+    u AS (SELECT doc_id, run_index, kind, unnest(page_indices) AS page_index FROM r),
+    x AS (SELECT u.doc_id, u.run_index, u.page_index, CASE u.kind WHEN 'scanned-image' THEN o.text WHEN 'mixed' THEN coalesce(nullif(p.text_sample, ''), o.text) ELSE p.text_sample END AS t, p.error IS NOT NULL AS failed
+        FROM u LEFT JOIN pdf_pages p ON u.doc_id = p.doc_id AND u.page_index = p.page_index LEFT JOIN ocr_pages o ON u.doc_id = o.doc_id AND u.page_index = o.page_index),
+    g AS (SELECT doc_id, run_index, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_index) FILTER (length(t) > 0) AS text, list(page_index ORDER BY page_index) FILTER (failed) AS error_pages FROM x GROUP BY 1, 2)
+    SELECT r.doc_id, r.run_index, run_key, language, ocr_code, text, coalesce(error_pages, []) AS error_pages FROM r LEFT JOIN g ON r.doc_id = g.doc_id AND r.run_index = g.run_index""")
 def pdf_document(t):
-    """Text of each scanned run, with the OCR engine's code of its language."""
-    from papyra.functions.lookup import ocr_language
-
-    runs = t.runs.where("kind = 'scanned-image'")
-    pages = t.ocr_pages.where("text is not null").select("doc_id", "page_index", "text")
-    lines = runs.select("doc_id", "run_index", F.explode("page_indices").alias("page_index")).join(pages, ["doc_id", "page_index"])
-    text = lines.groupBy("doc_id", "run_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_index", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("text"))
-    return runs.select("doc_id", "run_index", "run_key", "language", ocr_language(F.col("language")).alias("ocr_code")).join(text, ["doc_id", "run_index"], "left")
+    """Text of every run with the OCR engine's code of its language and the document's pages that failed.
+
+    Scanned runs have the text read by OCR, mixed ones that only where the page has none of its own. Labels of
+    any usual notation name their language; others fall back to English.
+    """
+    from papyra.functions.lookup import look_up
+
+    plain = F.substring_index(F.translate(F.lower(F.trim("language")), "_", "-"), "-", 1)
+    code = F.coalesce(look_up({k: fixed.OCR_LANGUAGE[v] for k, v in _CODE3.items()}, plain), F.lit("eng"))
+    runs = t.runs.select("doc_id", "run_index", "run_key", "kind", "language", code.alias("ocr_code"), "page_indices")
+    pages = t.pdf_pages.select("doc_id", "page_index", "text_sample", F.col("error").isNotNull().alias("failed"))
+    lines = runs.select("doc_id", "run_index", "kind", F.explode("page_indices").alias("page_index")).join(pages, ["doc_id", "page_index"], "left").join(t.ocr_pages.select("doc_id", "page_index", "text"), ["doc_id", "page_index"], "left")
+    text = F.when(F.col("kind") == "scanned-image", F.col("text")).when(F.col("kind") == "mixed", F.coalesce(F.nullif("text_sample", F.lit("")), "text")).otherwise(F.col("text_sample"))
+    kept = F.filter(F.sort_array(F.collect_list(F.struct("page_index", text.alias("t"), "failed"))), lambda x: F.length(x["t"]) > 0)
+    failed = F.sort_array(F.collect_list(F.when(F.col("failed"), F.col("page_index"))))
+    g = lines.groupBy("doc_id", "run_index").agg(kept.alias("kept"), failed.alias("error_pages"))
+    joined = F.when(F.size("kept") > 0, F.array_join(F.transform("kept", lambda x: x["t"]), "\n\n---\n\n"))
+    return runs.join(g, ["doc_id", "run_index"], "left").select("doc_id", "run_index", "run_key", "language", "ocr_code", joined.alias("text"), F.coalesce("error_pages", F.array().cast("array<int>")).alias("error_pages"))

@@ -137,6 +137,15 @@ def strict(t):
     return _nodes(t).groupBy("path").agg((~F.coalesce(F.max(F.col("error").isNotNull() | (F.col("type") == "error")), F.lit(False))).alias("whole"))
 
 
+_NO = (None,) * 7
+
+
+@catalog.add("doc_metadata", _values("path, author, title, subject, keywords, created, modified, last_modified_by, revision", [("broken.docx", None, *_NO), ("list.ods", None, *_NO), ("report.docx", "A. Farmer", "Harvest report", None, "rye, oats", "2024-08-01 06:30:00", None, None, "3")]))
+def doc_metadata(t):
+    m = of.with_metadata(samples.as_rows(t.spark, ".docx", ".ods"))
+    return m.withColumns({k: F.date_format(k, "yyyy-MM-dd HH:mm:ss") for k in ("created", "modified")})
+
+
 # --- web page, registry --------------------------------------------------------------------------
 
 _MARKDOWN = "# Hens\n\nSix hens & a **cock**.\n\n- one\n- two\n\n![a hen](hen.png)\n\n| k | v |\n| --- | --- |\n| a\\|b | 2 |"

@@ -186,6 +186,40 @@ def kind_of(z: zipfile.ZipFile) -> str | None:
     return None
 
 
+#: The element that holds each field, in both families of formats.
+METADATA = {
+    "author": ("creator", "initial-creator"), "title": ("title",), "subject": ("subject",), "keywords": ("keywords", "keyword"), "created": ("created", "creation-date"),
+    "modified": ("modified", "date"), "last_modified_by": ("lastModifiedBy",), "revision": ("revision", "editing-cycles"),
+}
+
+
+def metadata(content: bytes | None) -> dict[str, str | None]:
+    """The eight fields of a file's properties; all null where it has none or can't be read."""
+    found: dict[str, str] = {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            for name in ("docProps/core.xml", "meta.xml"):
+                if name in z.namelist() and z.getinfo(name).file_size <= LARGEST_PART:
+                    for e in ElementTree.fromstring(z.read(name)).iter():
+                        if e.text and e.text.strip():
+                            found.setdefault(_local(e.tag), e.text.strip())
+    except (zipfile.BadZipFile, ElementTree.ParseError, OSError, RuntimeError):
+        pass
+    return {k: next((found[n] for n in names if n in found), None) for k, names in METADATA.items()}
+
+
+def with_metadata(files: DataFrame) -> DataFrame:
+    """path and the eight fields of every file, times as timestamps."""
+
+    @F.pandas_udf(", ".join(f"{k} string" for k in METADATA))
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([metadata(x) for x in b], columns=list(METADATA))
+
+    m = files.select("path", read("content").alias("m")).select("path", "m.*")
+    return m.withColumns({k: F.try_to_timestamp(k) for k in ("created", "modified")})
+
+
 def parse(content: bytes | None) -> tuple[str | None, list[tuple]]:
     """(error, nodes) of a file; content without ZIP magic is refused."""
     if not content or content[:4] != b"PK\x03\x04":

@@ -36,7 +36,8 @@ def report_docx() -> bytes:
 
     table = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in row) + "</w:tr>" for row in (("crop", "tons"), ("rye", "12"))) + "</w:tbl>"
     body = p("Harvest", "Heading1") + p("Rye was early &amp; good.") + f"<w:sdt><w:sdtContent>{p('A note in a control.')}</w:sdtContent></w:sdt>" + table
-    return archive({"word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>"})
+    core = '<c xmlns:dc="dc" xmlns:cp="cp" xmlns:t="t"><dc:title>Harvest report</dc:title><dc:creator>A. Farmer</dc:creator><cp:keywords>rye, oats</cp:keywords><cp:revision>3</cp:revision><t:created>2024-08-01T06:30:00Z</t:created></c>'
+    return archive({"word/document.xml": f"<w:document {_W}><w:body>{body}</w:body></w:document>", "docProps/core.xml": core})
 
 
 def talk_pptx() -> bytes:

@@ -37,3 +37,19 @@ def test_fences_end_by_their_own_sign():
     tree = ch.parse_sections(text)
     assert [(s.level, s.heading) for s in tree] == [(0, ""), (1, "A"), (1, "C")] and tree[1].children[0].heading == "B"
     assert "\n".join(s.full() for s in tree) == text
+
+
+def test_substitution_is_one_pass(spark):
+    from papyra.functions import prompts as pr
+
+    df = spark.createDataFrame([("{b}", "x{c}{", None)], "a string, b string, c string")
+    got = df.select(pr.substitute(F.lit("{a}-{b}-{c}-{d}-{a}{"), {k: F.col(k) for k in "abc"}, exclude=()).alias("x"), pr.substitute(F.lit("{a}{b}"), {k: F.col(k) for k in "ab"}, exclude=("a",)).alias("y")).first()
+    assert got.x == "{b}-x{c}{--{d}-{b}{" and got.y == "{a}x{c}{"
+
+
+def test_redaction(spark):
+    from papyra.functions.errors import redacted
+
+    keys = ["id", "password", "a.token", "a.b.token", "to", "x.to", "req.headers.cookie", "req.headers.host", "input.content"]
+    m = F.create_map(*[F.lit(x) for k in keys for x in (k, "v")])
+    assert set(spark.range(1).select(redacted(m).alias("m")).first().m) == {"id", "a.b.token", "req.headers.host"}
