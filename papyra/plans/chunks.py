@@ -65,7 +65,27 @@ def chunk_stats(t):
     return ch.chunk_stats(ch.chunk(t.documents, _BUDGET, "paragraph"))
 
 
-@catalog.add("split_paragraphs")
+_EMPTY = "{'done': CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]), 'b': '', 'n': CAST(0 AS BIGINT)}"
+_FLUSHED = "CASE WHEN a.b <> '' THEN list_append(a.done, {'t': a.b, 'n': a.n}) ELSE a.done END"
+
+
+def _held(budget: int, glue: str, x: str, else_: str) -> str:
+    """One step of greedy packing: x joins what is held while both stay within the budget."""
+    return f"CASE WHEN a.n + {x}.n <= {budget} THEN {{'done': a.done, 'b': CASE WHEN a.b = '' THEN {x}.b ELSE a.b || {glue} || {x}.b END, 'n': a.n + {x}.n}} {else_} ELSE {{'done': {_FLUSHED}, 'b': {x}.b, 'n': {x}.n}} END"
+
+
+def _parts_of(split: str) -> str:
+    return f"list_transform({split}, lambda y: {{'done': CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]), 'b': y, 'n': CAST({_WC.format(x='y')} AS BIGINT)}})"
+
+
+_BY_SENTENCE = f"list_transform([list_reduce({_parts_of(_MARKED.replace('text', 'x.b'))}, lambda a, s: {_held(_BUDGET, chr(39) + ' ' + chr(39), 's', '')}, {_EMPTY})], lambda a: {_FLUSHED})[1]"
+_STEP = _held(_BUDGET, "chr(10) || chr(10)", "x", f"WHEN x.n > {_BUDGET} THEN {{'done': list_concat({_FLUSHED}, {_BY_SENTENCE}), 'b': '', 'n': CAST(0 AS BIGINT)}}")
+_SPLIT = "string_split_regex(text, '\\n\\n+')"
+
+
+@catalog.add("split_paragraphs", f"""WITH f AS (SELECT doc_id, list_reduce({_parts_of(_SPLIT)}, lambda a, x: {_STEP}, {_EMPTY}) AS a FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0),
+    c AS (SELECT doc_id, {_FLUSHED} AS chunks FROM f), u AS (SELECT doc_id, unnest(range(len(chunks))) AS i, chunks FROM c)
+    SELECT doc_id, CAST(i AS INT) AS chunk_index, chunks[i + 1].t AS text, CAST(chunks[i + 1].n AS INT) AS token_count FROM u""")
 def split_paragraphs(t):
     return ch.chunk(t.documents, _BUDGET, "paragraph_sentence").drop("heading_context")
 

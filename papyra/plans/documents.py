@@ -119,11 +119,11 @@ def embedded_images(t):
 
 # --- web pages made of documents ---------------------------------------------------------------
 
-_HTML = "('<!DOCTYPE html><html lang=\"' || coalesce(lang, 'und') || '-XX\"><head><title> ' || coalesce(file_key, '') || ' </title></head><body><nav>menu</nav><article><p>' || replace(coalesce(text, ''), chr(10), '<br>') || '</p><img src=\"x.png\"><table><tr><td>1</td></tr></table></article></body></html>')"
+_HTML = "('<!DOCTYPE html><html lang=\"' || coalesce(lang, 'und') || '-XX\"><head><title> ' || coalesce(file_key, '') || ' </title></head><body><nav>menu</nav><article><p>' || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), chr(10), '<br>') || '</p><img src=\"x.png\"><table><tr><td>1</td></tr></table></article></body></html>')"
 
 
 def _pages(t):
-    html = F.concat(F.lit('<!DOCTYPE html><html lang="'), F.coalesce("lang", F.lit("und")), F.lit('-XX"><head><title> '), F.coalesce("file_key", F.lit("")), F.lit(" </title></head><body><nav>menu</nav><article><p>"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("<br>")), F.lit('</p><img src="x.png"><table><tr><td>1</td></tr></table></article></body></html>'))
+    html = F.concat(F.lit('<!DOCTYPE html><html lang="'), F.coalesce("lang", F.lit("und")), F.lit('-XX"><head><title> '), F.coalesce("file_key", F.lit("")), F.lit(" </title></head><body><nav>menu</nav><article><p>"), F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>")), F.lit('</p><img src="x.png"><table><tr><td>1</td></tr></table></article></body></html>'))
     return t.documents.select("doc_id", html.alias("html"))
 
 
@@ -138,7 +138,12 @@ def html_lang(t):
     return _pages(t).select("doc_id", ht.language_of(F.col("html")).alias("language"))
 
 
-@catalog.add("html_to_markdown")
+# what a page's article must become: lines with their white space folded, an image, a table
+_LINES = f"array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{WS}+', ' ', 'g')), chr(10))"
+_TIDY = f"regexp_replace(regexp_replace({_LINES} || chr(10) || chr(10) || '![](x.png)' || chr(10) || chr(10) || '| 1 |' || chr(10) || '| --- |', '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@catalog.add("html_to_markdown", f"SELECT doc_id, regexp_replace({_TIDY}, '^{WS}+', '') AS markdown FROM documents")
 def html_to_markdown(t):
     return _pages(t).select("doc_id", ht.markdown("html").alias("markdown"))
 
