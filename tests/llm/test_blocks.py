@@ -109,3 +109,15 @@ def test_words_that_stand_everywhere_take_no_part_in_the_join(spark):
 @pytest.mark.parametrize("text", ["", "one two-", "foo-\nbar-\nbaz qux", "a-\n\n b", "well-\nknown ~\nx", "漢字-\n字", "x" * 70 + "-\n" + "y" * 50])
 def test_broken_words_like_the_pattern(text):
     assert [m.span() for m in ocr._broken(text)] == [m.span() for m in ocr._BROKEN.finditer(text)]
+
+
+def test_small_and_odd_tables(spark):
+    """Too few documents for a vocabulary, one subject, null ids and texts, clashing columns: no row is lost or invented."""
+    docs = spark.createDataFrame([(1, "The hen sat. The cock ran.", "eng", 1, "x"), (2, None, None, 2, "y"), (None, "A hen sat.", "eng", 3, "z"), (3, "", "eng", 4, "x")], "doc_id long, text string, lang string, share int, subject string")
+    labels = spark.createDataFrame([(1, "farm"), (1, "farm"), (None, "farm"), (2, None)], "doc_id long, subject string")
+    subs = spark.createDataFrame([("farm",), (None,)], "subject string")
+    assert subjects.document_subjects(docs, labels, subs).count() == 0
+    many = spark.range(60).selectExpr("id as doc_id", "concat('Word', id % 3, ' hens and cocks. The barn ', id % 5, ' holds hay', id % 2, '.') as text", "'eng' as lang", "1 as share")
+    got = subjects.document_subjects(many, spark.createDataFrame([(i, "farm") for i in range(10)], "doc_id long, subject string"), subs)
+    assert got.columns == ["doc_id", "subject", "share", "sentences"] and {r.subject for r in got.collect()} <= {"farm"}
+    assert got.count() == got.select("doc_id").distinct().count()
