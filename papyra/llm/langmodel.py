@@ -145,6 +145,10 @@ class LanguageModel:
 
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, language, confidence) of the maximal parts of one language, by the best path."""
+        return [x[:4] for x in self.parts(text)]
+
+    def parts(self, text: str) -> list[tuple[int, int, str, float, list[str]]]:
+        """The same with the words of each part."""
         parts = [(a, b, t) for a, b in segments(text) if (t := words(text[a:b]))]
         if not parts:
             return []
@@ -153,7 +157,7 @@ class LanguageModel:
         first = s.argmax(axis=1)
         if (first == first[0]).all():  # no path is better than the one that is best everywhere
             k = int(first[0])
-            return [(0, len(text), CODES[k], self._confidence(s.sum(axis=0), int(sizes.sum()), k))]
+            return [(0, len(text), CODES[k], self._confidence(s.sum(axis=0), int(sizes.sum()), k), [w for _, _, t in parts for w in t])]
         best, back = s[0].copy(), []
         for row in s[1:]:
             jump = best.max() - self.SWITCH
@@ -169,14 +173,14 @@ class LanguageModel:
             if out and out[-1][2] == k:
                 out[-1][1] = b
                 out[-1][3] += row
-                out[-1][4] += len(t)
+                out[-1][4] += t
             else:
-                out.append([a, b, k, row.copy(), len(t)])
+                out.append([a, b, k, row.copy(), list(t)])
         for prev, nxt in zip(out, out[1:]):
             prev[1] = nxt[0]
         if out:
             out[0][0], out[-1][1] = 0, len(text)
-        return [(a, b, CODES[k], self._confidence(v, n, k)) for a, b, k, v, n in out]
+        return [(a, b, CODES[k], self._confidence(v, len(t), k), t) for a, b, k, v, t in out]
 
     @staticmethod
     def _confidence(v: np.ndarray, n: int, k: int) -> float:
@@ -253,9 +257,9 @@ def fit(df: DataFrame, text: str, label: str, keys: list[str], rows_per_language
             c: dict[tuple[str, str], int] = defaultdict(int)
             for t in b["t"]:
                 of: dict[str, collections.Counter[str]] = defaultdict(collections.Counter)
-                for a, z, lang, conf in m.spans(t):
+                for _, _, lang, conf, found in m.parts(t):
                     if conf > 0.8:
-                        of[lang].update(words(t[a:z]))
+                        of[lang].update(found)
                 for lang, found in of.items():
                     for w, n in found.items():
                         c[lang, w] += min(n, ROW_CAP)

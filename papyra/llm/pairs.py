@@ -150,20 +150,20 @@ def continued_answers(entries: DataFrame, least: int = LEAST_PREFIX) -> DataFram
     """h of every answer that another answer goes on from in the same line, where it ends without an end mark.
 
     h is the xxhash64 of the answer without white space at its end. Answers are range-partitioned and
-    sorted by their text; one that others continue is continued by its successor. Copies are dropped
-    batch by batch first, so that a frequent answer is no hot range. Each partition also gives up its
-    first and last text, so that pairs across borders are compared too; those are two rows for each partition.
+    sorted by their text; one that others continue is continued by its successor. Copies are told apart by
+    a salt, so that a frequent answer may span partitions: the last of its copies has the successor. Each
+    partition also gives up its first and last text, so that pairs across borders are compared too; those
+    are two rows for each partition.
     """
-    texts = entries.where(F.length("output") >= least).select(F.rtrim("output").alias("t")).withColumn("h", F.xxhash64("t"))
-    once = texts.mapInPandas(lambda batches: (b.drop_duplicates("h") for b in batches), "t string, h long")
-    ordered = once.repartitionByRange("t").sortWithinPartitions("t").withColumn("p", F.spark_partition_id())
+    texts = entries.where(F.length("output") >= least).select(F.rtrim("output").alias("t"), F.xxhash64("id").alias("salt")).withColumn("h", F.xxhash64("t"))
+    ordered = texts.repartitionByRange("t", "salt").sortWithinPartitions("t").select("t", "h", F.spark_partition_id().alias("p"))
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, first, p = None, None, -1
         for b in batches:
             found = []
             for t, h in zip(b["t"], b["h"]):
-                if last is not None and t.startswith(last[0]) and goes_on(last[0], t):
+                if last is not None and h != last[1] and t.startswith(last[0]) and goes_on(last[0], t):
                     found.append(last)
                 last = (t, h)
                 first = last if first is None else first

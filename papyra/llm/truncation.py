@@ -35,7 +35,8 @@ _EMPTY = re.compile(rf"(?:[\s{INVISIBLE}\"'“”„«»`*_]|```\w*|<[^>]*>|&nbs
 _DONE = re.compile(r"(?:[.!?。！？]|(?<=\d) ?%)[\"'”’»)\]*_`」』]*$")
 _HANGING = re.compile(r"[,;:(\[{“„«‘¿¡–—/&+=、，；：「『-][\"'”’»*_]*$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’»)\]*_]*\s+|(?<=[。！？])[」』”’]*\s*|\n+")
-_ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)])\s+")
+_ITEM = re.compile(r"^\s*(?:[-*+•]|[0-9]{1,3}[.)])\s+")
+_ITEM_SIGNS = frozenset("-*+•0123456789")
 _HEAD = re.compile(r"^\s*(?:#{1,6}\s+|>\s*)+")
 _WORDS = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -69,7 +70,7 @@ def _json_open(s: str) -> bool:
 def keys_of(sentence: str) -> tuple[str, str, int]:
     """(first words, last word, number of words) of a sentence; of characters where a script has no spaces."""
     s = _DIGITS.sub("0", sentence.strip().lower()).strip(" .!?。！？\"'“”„«»()[]*_`")
-    if _DENSE.search(s):
+    if not s.isascii() and _DENSE.search(s):
         return s[:2], s[-2:], len(s)
     w = s.split()
     if not w:
@@ -197,11 +198,11 @@ def counts(batch: Batch) -> Iterator[pa.RecordBatch]:
             s = s.strip()
             if len(s) < 4 or s[0] in "{|`":
                 continue
-            item = _ITEM.match(s)
+            item = s[0] in _ITEM_SIGNS and _ITEM.match(s)
             done = s[-1] in ".!?。！？" or _DONE.search(s)
             if not done and (not item or k == len(parts) - 1):
                 continue
-            a, z, n = keys_of(_ITEM.sub("", s))
+            a, z, n = keys_of(_ITEM.sub("", s) if item else s)
             f = frames.setdefault(("•" if item else a, z), [0, n])
             f[0] += 1
             f[1] = min(f[1], n)
