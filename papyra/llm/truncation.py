@@ -184,15 +184,20 @@ Batch = dict[str, list]
 
 def counts(batch: Batch) -> Iterator[pa.RecordBatch]:
     """Words, frames and lengths, summed over a batch before they leave Python, and each answer's last line with a digest of prompt and answer."""
-    words: Counter[str] = Counter()
+    # no word holds white space: what stands between it is counted first, and its words are looked up once for each
+    tokens: Counter[str] = Counter()
+    last_words: Counter[str] = Counter()
     frames: dict[tuple[str, str], list[int]] = {}
     lines: list[tuple] = []
     for model, n_tokens, limited, prompt, output in zip(batch["model"], batch["n_tokens"], batch["limited"], batch["prompt"], batch["output"]):
         if prompt:
-            words.update(_WORDS.findall(prompt.lower()))
+            tokens.update(prompt.lower().split())
         if not output:
             continue
-        words.update(_WORDS.findall(output.lower())[:-1])
+        found = output.lower().split()
+        tokens.update(found)
+        # the last word of an answer may be cut: it counts for nothing
+        last_words.update(next((w[-1:] for t in reversed(found) if (w := _WORDS.findall(t))), []))
         parts = _SENTENCE.split(output)
         for k, s in enumerate(parts):
             s = s.strip()
@@ -211,8 +216,13 @@ def counts(batch: Batch) -> Iterator[pa.RecordBatch]:
         if last and last[0] not in "{|`":
             starts = line_hashes(last)
             lines.append((model, n_tokens, limited, last.count(" ") + 1, starts[-1], hash64(f"{prompt}\0{output.rstrip()}"), starts))
+    words: Counter[str] = Counter()
+    for t, n in tokens.items():
+        for w in _WORDS.findall(t):
+            words[w] += n
+    words.subtract(last_words)
     # a word of a script without spaces is no token that a tail may end on
-    yield _rows("w", ["a", "n"], [(w, n) for w, n in words.items() if not _DENSE.match(w)])
+    yield _rows("w", ["a", "n"], [(w, n) for w, n in words.items() if n > 0 and not _DENSE.match(w)])
     yield _rows("f", ["a", "z", "n", "least"], [(a, z, n, m) for (a, z), (n, m) in frames.items()])
     yield _rows("l", ["model", "n_tokens", "limited", "n_words", "line", "digest", "starts"], lines)
     by = Counter((m, t) for m, t in zip(batch["model"], batch["n_tokens"]) if t is not None)
